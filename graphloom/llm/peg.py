@@ -33,157 +33,186 @@ class Run:
         self.s, self.memo, self.far = s + _END, {}, 0
 
 
-def _terminal(classes: frozenset[str]) -> Matcher:
-    if len(classes) == 1:
-        only = next(iter(classes))
-
-        def one(run: Run, i: int) -> int:
-            if run.s[i] == only:
-                return i + 1
-            if i > run.far:
-                run.far = i
-            return -1
-
-        return one
-
-    def some(run: Run, i: int) -> int:
-        if run.s[i] in classes:
-            return i + 1
-        if i > run.far:
-            run.far = i
-        return -1
-
-    return some
-
-
-def _end(run: Run, i: int) -> int:
-    if run.s[i] == _END:
-        return i
-    if i > run.far:
-        run.far = i
-    return -1
-
-
-def _sequence(parts: list[Matcher]) -> Matcher:
-    if len(parts) == 1:
-        return parts[0]
-
-    def seq(run: Run, i: int) -> int:
-        for p in parts:
-            i = p(run, i)
-            if i < 0:
-                return -1
-        return i
-
-    return seq
-
-
-def _choice(parts: list[Matcher]) -> Matcher:
-    if len(parts) == 1:
-        return parts[0]
-
-    def alt(run: Run, i: int) -> int:
-        for p in parts:
-            j = p(run, i)
-            if j >= 0:
-                return j
-        return -1
-
-    return alt
-
-
-def _many(part: Matcher, least: int) -> Matcher:
-    def many(run: Run, i: int) -> int:
-        n = 0
-        while (j := part(run, i)) > i:
-            i, n = j, n + 1
-        return i if n >= least else -1
-
-    return many
-
-
-def _maybe(part: Matcher) -> Matcher:
-    def maybe(run: Run, i: int) -> int:
-        j = part(run, i)
-        return i if j < 0 else j
-
-    return maybe
-
-
-def _look(part: Matcher, wanted: bool) -> Matcher:
-    def look(run: Run, i: int) -> int:
-        far = run.far
-        found = part(run, i) >= 0
-        run.far = far
-        return i if found == wanted else -1
-
-    return look
-
-
 class Grammar:
-    """Compiled grammar; ``classes`` maps literals and UPPER names to their class characters."""
+    """Compiled grammar; ``classes`` maps literals and UPPER names to their class characters.
+
+    Expressions are compiled to functions; the classes an expression can begin
+    with are worked out first, so that choices only try what can begin here.
+    """
 
     def __init__(self, text: str, classes: dict[str, str]) -> None:
         self.classes = classes
-        self.rules: dict[str, Matcher] = {}
         tokens = [m for line in text.splitlines() for m in _TOKEN.finditer(line.partition("#")[0]) if m.group().strip()]
+        self._trees: dict[str, tuple] = {}
         i = 0
         while i < len(tokens):
             name, i = tokens[i]["name"], i + 1
-            body, i = self._choice_of(tokens, i)
-            self.rules[name] = self._memo(name, body)
-
-    def _memo(self, name: str, body: Matcher) -> Matcher:
-        def rule(run: Run, i: int) -> int:
-            key = (name, i)
-            found = run.memo.get(key)
-            if found is None:
-                found = run.memo[key] = body(run, i)
-            return found
-
-        return rule
-
-    def _choice_of(self, t: list[re.Match[str]], i: int) -> tuple[Matcher, int]:
+            self._trees[name], i = self._choice(tokens, i)
+        self._begin: dict[str, tuple[frozenset[str], bool]] = {n: (frozenset(), False) for n in self._trees}
+        changed = True
+        while changed:
+            changed = False
+            for name, tree in self._trees.items():
+                if (now := self._begins(tree)) != self._begin[name]:
+                    self._begin[name], changed = now, True
+        self._bodies: dict[str, Matcher] = {}
+        self.rules: dict[str, Matcher] = {name: self._rule(name) for name in self._trees}
+        for name, tree in self._trees.items():
+            self._bodies[name] = self._compile(tree)
+
+    # grammar text to trees
+
+    def _choice(self, t: list[re.Match[str]], i: int) -> tuple[tuple, int]:
         options = []
         while True:
             parts = []
             while i < len(t) and not t[i]["def"] and t[i]["op"] not in ("/", ")"):
                 part, i = self._item(t, i)
                 parts.append(part)
-            options.append(_sequence(parts))
+            options.append(parts[0] if len(parts) == 1 else ("seq", parts))
             if i < len(t) and t[i]["op"] == "/":
                 i += 1
                 continue
-            return _choice(options), i
+            return (options[0] if len(options) == 1 else ("alt", options)), i
 
-    def _item(self, t: list[re.Match[str]], i: int) -> tuple[Matcher, int]:
+    def _item(self, t: list[re.Match[str]], i: int) -> tuple[tuple, int]:
         m = t[i]
         if m["op"] in ("&", "!"):
             part, i = self._item(t, i + 1)
-            return _look(part, m["op"] == "&"), i
+            return ("look", part, m["op"] == "&"), i
         if m["op"] == "(":
-            part, i = self._choice_of(t, i + 1)
+            part, i = self._choice(t, i + 1)
             i += 1
         elif m["lit"]:
-            part, i = _terminal(frozenset(self.classes[m["lit"][1:-1]])), i + 1
+            part, i = ("is", frozenset(self.classes[m["lit"][1:-1]])), i + 1
         elif m["name"] == "END":
-            part, i = _end, i + 1
+            part, i = ("end",), i + 1
         elif m["name"].isupper():
-            part, i = _terminal(frozenset(self.classes[m["name"]])), i + 1
+            part, i = ("is", frozenset(self.classes[m["name"]])), i + 1
         else:
-            part, i = self._late(m["name"]), i + 1
+            part, i = ("rule", m["name"]), i + 1
         while i < len(t) and t[i]["op"] in ("*", "+", "?"):
-            part = _maybe(part) if t[i]["op"] == "?" else _many(part, int(t[i]["op"] == "+"))
+            part = ("maybe", part) if t[i]["op"] == "?" else ("many", part, int(t[i]["op"] == "+"))
             i += 1
         return part, i
 
-    def _late(self, name: str) -> Matcher:
-        rules = self.rules
+    def _begins(self, tree: tuple) -> tuple[frozenset[str], bool]:
+        """Classes with which a match can begin; whether it can be empty."""
+        kind = tree[0]
+        if kind == "is":
+            return tree[1], False
+        if kind == "end":
+            return frozenset(_END), False
+        if kind == "rule":
+            return self._begin[tree[1]]
+        if kind == "look":
+            return frozenset(), True
+        if kind in ("maybe", "many"):
+            first, empty = self._begins(tree[1])
+            return first, empty or kind == "maybe" or not tree[2]
+        each = [self._begins(x) for x in tree[1]]
+        if kind == "alt":
+            return frozenset().union(*(f for f, _ in each)), any(e for _, e in each)
+        first: frozenset[str] = frozenset()
+        for f, e in each:
+            first |= f
+            if not e:
+                return first, False
+        return first, True
+
+    # trees to functions
+
+    def _rule(self, name: str) -> Matcher:
+        bodies, (first, empty) = self._bodies, self._begin[name]
+
+        def rule(run: Run, i: int) -> int:
+            if not empty and run.s[i] not in first:
+                if i > run.far:
+                    run.far = i
+                return -1
+            key = (name, i)
+            found = run.memo.get(key)
+            if found is None:
+                found = run.memo[key] = bodies[name](run, i)
+            return found
+
+        return rule
 
-        def call(run: Run, i: int) -> int:
-            return rules[name](run, i)
+    def _compile(self, tree: tuple) -> Matcher:
+        kind = tree[0]
+        if kind == "rule":
+            return self.rules[tree[1]]
+        if kind in ("is", "end"):
+            classes, step = (tree[1], 1) if kind == "is" else (frozenset(_END), 0)
+
+            def terminal(run: Run, i: int) -> int:
+                if run.s[i] in classes:
+                    return i + step
+                if i > run.far:
+                    run.far = i
+                return -1
+
+            return terminal
+        if kind == "seq":
+            parts = [self._compile(x) for x in tree[1]]
+
+            def sequence(run: Run, i: int) -> int:
+                for p in parts:
+                    i = p(run, i)
+                    if i < 0:
+                        return -1
+                return i
+
+            return sequence
+        if kind == "alt":
+            options = [(self._compile(x), *self._begins(x)) for x in tree[1]]
+            always = tuple(p for p, _, e in options if e)
+            by_class = {c: tuple(p for p, f, e in options if e or c in f) for c in self._begins(tree)[0]}
+
+            def choice(run: Run, i: int) -> int:
+                found = by_class.get(run.s[i], always)
+                for p in found:
+                    j = p(run, i)
+                    if j >= 0:
+                        return j
+                if i > run.far:
+                    run.far = i
+                return -1
+
+            return choice
+        part, (first, empty) = self._compile(tree[1]), self._begins(tree[1])
+        if kind == "look":
+            wanted = tree[2]
+
+            def look(run: Run, i: int) -> int:
+                far = run.far
+                found = part(run, i) >= 0
+                run.far = far
+                return i if found == wanted else -1
+
+            return look
+        if kind == "maybe":
+
+            def maybe(run: Run, i: int) -> int:
+                if not empty and run.s[i] not in first:
+                    if i > run.far:
+                        run.far = i
+                    return i
+                j = part(run, i)
+                return i if j < 0 else j
+
+            return maybe
+        least = tree[2]
+
+        def many(run: Run, i: int) -> int:
+            n = 0
+            while run.s[i] in first and (j := part(run, i)) > i:
+                i, n = j, n + 1
+            if i > run.far:
+                run.far = i
+            return i if n >= least else -1
 
-        return call
+        return many
 
     def match(self, rule: str, s: str) -> tuple[bool, int]:
         """Whether ``rule`` takes all of ``s``; the furthest position at which it failed."""

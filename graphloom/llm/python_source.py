@@ -259,12 +259,14 @@ TOKENS = _Tokens(_kind)
 
 @dataclass
 class Definition:
-    """A function or method: line and name of its header, the header's words, its documentation."""
+    """A function or method: line and name of its header, the header's words, its documentation, its first and last line."""
 
     name: str
     line: int
     header: list[str]
     doc: str | None = None
+    first: int = 0
+    last: int = 0
 
 
 @dataclass
@@ -296,6 +298,13 @@ def _columns(indent: str) -> tuple[int, int]:
     return wide, len(indent)
 
 
+def _documentation(tokens: list[str]) -> str | None:
+    """Text of adjacent string tokens; none if one of them is formatted."""
+    if any("f" in t[: min(t.find(q) for q in "\"'" if q in t)].lower() for t in tokens):
+        return None
+    return "".join(map(_string_text, tokens))
+
+
 def _string_text(token: str) -> str:
     at = min(token.find(q) for q in "\"'" if q in token)
     body = token[at:]
@@ -322,6 +331,8 @@ def parse(text: str, definitions: bool = False) -> Parsed:
     depth, line, begun = 0, 1, 1
     out: list[Definition] = []
     waiting: Definition | None = None
+    running: list[tuple[int, Definition]] = []  # definitions whose block isn't closed, with their indentation
+    last_line = 1
 
     def failed(index: int, why: str) -> Parsed:
         row, column, last = _place(text, index)
@@ -385,21 +396,30 @@ def parse(text: str, definitions: bool = False) -> Parsed:
             levels[-1].extend(symbols)
             starts[-1].extend([where[0]] * len(symbols))
             if definitions:
+                while running and width[0] <= running[-1][0]:
+                    running.pop()[1].last = last_line
+                last_line = line - 1
                 if waiting is not None:
-                    if own.strip("s") == "" and symbols == "s":
-                        waiting.doc = "".join(_string_text(tokens[w]) for w in where)
+                    head = own.partition(";")[0]
+                    if symbols == "s" and "s" in head and head.strip("s()") == "":
+                        waiting.doc = _documentation([tokens[w] for k, w in zip(head, where) if k == "s"])
                     waiting = None
                 if symbols[0] == "D":
                     name_at = 2 if kinds[0] == CLASSES["async"] else 1
                     colon = _LINES.prefix("def_head", own)
                     waiting = Definition(tokens[where[name_at]], begun, [tokens[w] for k, w in zip(own[:colon], where) if k in CLASSES["NAME"] or k in CLASSES["CONST"]])
+                    waiting.first = begun
+                    running.append((width[0], waiting))
                     out.append(waiting)
                     if len(symbols) == 2:
-                        if own[colon:].strip("s") == "":
-                            waiting.doc = "".join(_string_text(tokens[w]) for w in where[colon:])
+                        head = own[colon:].partition(";")[0]
+                        if "s" in head and head.strip("s()") == "":
+                            waiting.doc = _documentation([tokens[w] for k, w in zip(head, where[colon:]) if k == "s"])
                         waiting = None
             kinds, where, depth = [], [], 0
         indent = token[1:]
+    for _, open_definition in running:
+        open_definition.last = last_line
     bad = close(1)
     if bad >= 0:
         return failed(bad, "block")

@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 
 from graphloom.llm.peg import Grammar, Remembered
-from graphloom.llm.python_source import Definition, Parsed
+from graphloom.llm.python_source import Definition, Parsed, never_closed
 
 _OPS = "... <<= >>= -> ++ -- << >> <= >= == != && || += -= *= /= %= &= ^= |= ( ) [ ] { } , : ; . ? = + - * / % & | ^ ~ ! < >".split()
 _KEYWORDS = "if else while do for switch case default break continue return goto sizeof typedef struct union enum static _Generic _Static_assert static_assert asm __asm__ __asm __attribute__ __declspec _Alignas alignas typeof __typeof__ _Alignof alignof __alignof__".split()
@@ -155,10 +155,10 @@ DATA_BRACES = Remembered(_data)
 BLOCKS = Remembered(lambda s: _BLOCKS.match("block", s))
 
 _MASTER = re.compile(
-    r"[ \t\f\v]*(?:(\n|//(?:\\\n|[^\n])*|/\*.*?\*/|\#(?:\\\n|/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\n])*"
+    r"[ \t\f\v]*(?:(\n|//(?:\\\n|[^\n])*|/\*.*?\*/|/\*|\#(?:\\\n|/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\n])*"
     r"|(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\"|(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+'"
     r"|[^\W\d][\w$]*|\.?\d(?:[eEpP][+-]|'?[\w.])*"
-    r"|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|&&|\|\||[-+*/%&^|<>=!]=|[()\[\]{},:;.?=+\-*/%&|^~!<>]|\\\n|/\*|[^\s]|\Z)|\s)",
+    r"|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|&&|\|\||[-+*/%&^|<>=!]=|[()\[\]{},:;.?=+\-*/%&|^~!<>]|\\\n|[^\s]|\Z)|\s)",
     re.DOTALL,
 )
 _NUMBER = re.compile(
@@ -166,6 +166,7 @@ _NUMBER = re.compile(
     r"|0[xX](?:[\da-fA-F]*\.?[\da-fA-F]*)[pP][+-]?\d+[fFlL]*"
 )
 _FIXED = {w: CLASSES[w] for w in [*_KEYWORDS, *_OPS]} | dict.fromkeys(_TYPES, "t") | dict.fromkeys(_QUALIFIERS, "q") | {"": "\x03", "<:": "["}
+_WORD_KINDS = frozenset("nt" + CLASSES["SU"])
 _BAD, _SKIP, _HASH = "\x01", "\x02", "\x04"
 _SPECIAL = frozenset("([{)]};\n" + _SKIP + _HASH)
 
@@ -344,7 +345,7 @@ def parse(text: str, definitions: bool = False) -> Parsed:
         for n, m in enumerate(_MASTER.finditer(text)):
             if n == index:
                 at = m.start(1) if m.group(1) is not None else m.start()
-                return Parsed(False, text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), not text[m.end() :].strip(), why)
+                return Parsed(False, text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), never_closed(text, at) or not text[m.end() :].strip(), why)
         return Parsed(False, text.count("\n") + 1, len(text) - text.rfind("\n"), True, why)
 
     def end_piece(f: _Frame, index: int) -> int:
@@ -355,7 +356,7 @@ def parse(text: str, definitions: bool = False) -> Parsed:
             return f.where[far] if far < len(f.where) else index
         if symbols == "F" and definitions:
             name = _function_name(own)
-            words = [tokens[w] for k, w in zip(own, f.where) if k in "nt" or k in CLASSES["SU"]]
+            words = [tokens[w] for k, w in zip(own, f.where) if k in _WORD_KINDS]
             out.append(Definition(tokens[f.where[name]], lines[f.where[name]], words, _comment_above(comments, first_line), first_line, line))
         if f.block:
             f.symbols.append(symbols)

@@ -177,6 +177,7 @@ def _block(symbols: str) -> tuple[str, int]:
 LINES = Remembered(_line)
 BLOCKS = Remembered(_block)
 MODULES = Remembered(lambda s: _BLOCKS.match("module", s))
+DEF_ENDS = Remembered(lambda s: _LINES.prefix("def_head", s))
 
 _STRING_BODY = r"""(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'(?:[^\\'\n]|\\.)*'|"(?:[^\\"\n]|\\.)*")"""
 _MASTER = re.compile(
@@ -194,7 +195,8 @@ _FIXED = {w: CLASSES[w] for w in _WORDS if w not in ("!=",)} | {"!=": CLASSES["!
 _BAD = "\x01"
 _SKIP = "\x02"
 _SPECIAL = frozenset("([{)]}\n" + _SKIP)
-_OPENERS, _CLOSERS = frozenset("([{"), frozenset(")]}")
+_OPENERS = frozenset("([{")
+_WORD_KINDS = frozenset(CLASSES["NAME"] + CLASSES["CONST"])
 
 
 def _kind(token: str) -> str:
@@ -281,12 +283,19 @@ class Parsed:
     definitions: list[Definition] = field(default_factory=list)
 
 
+def never_closed(text: str, at: int) -> bool:
+    """Whether a string or comment that opens at an offset runs to the end of the text."""
+    if text[at] in "\"'" and (text[at - 2 : at + 1] == text[at] * 3 or text[at : at + 3] == text[at] * 3):
+        return True
+    return (text[at] in "\"'" and "\n" not in text[at:].rstrip()) or text[at : at + 2] == "/*"
+
+
 def _place(text: str, index: int) -> tuple[int, int, bool]:
     """Line and column of the token with an index; whether nothing but blanks follows."""
     for n, m in enumerate(_MASTER.finditer(text)):
         if n == index:
             at = m.start(1) if m.group(1) is not None else m.start()
-            return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), not text[m.end() :].strip()
+            return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), never_closed(text, at) or not text[m.end() :].strip()
     return text.count("\n") + 1, len(text) - text.rfind("\n"), True
 
 
@@ -336,16 +345,19 @@ def parse(text: str, definitions: bool = False) -> Parsed:
 
     def failed(index: int, why: str) -> Parsed:
         row, column, last = _place(text, index)
+        if why == "block" and not last:  # a header with nothing but comments below
+            rest = text.split("\n")[row:]
+            last = all(not x.strip() or x.lstrip().startswith("#") for x in rest)
         return Parsed(False, row, column, last, why)
 
-    def close(to: int) -> int:
-        """Reduce blocks until ``to`` levels are open; index of the failing token or -1."""
+    def close(to: int, then: int) -> int:
+        """Reduce blocks until ``to`` levels are open; index of the failing token (``then`` if the block lacks something) or -1."""
         while len(levels) > to:
             symbols, at = "".join(levels.pop()), starts.pop()
             indents.pop()
             symbol, far = BLOCKS[symbols]
             if not symbol:
-                return at[far] if far < len(at) else at[-1]
+                return at[far] if far < len(at) else then
             levels[-1].append(symbol)
             starts[-1].append(at[0])
         return -1
@@ -388,7 +400,7 @@ def parse(text: str, definitions: bool = False) -> Parsed:
                     starts.append([])
                     indents.append(width)
                 elif width in indents:
-                    bad = close(indents.index(width) + 1)
+                    bad = close(indents.index(width) + 1, where[0])
                     if bad >= 0:
                         return failed(bad, "block")
                 else:
@@ -406,8 +418,8 @@ def parse(text: str, definitions: bool = False) -> Parsed:
                     waiting = None
                 if symbols[0] == "D":
                     name_at = 2 if kinds[0] == CLASSES["async"] else 1
-                    colon = _LINES.prefix("def_head", own)
-                    waiting = Definition(tokens[where[name_at]], begun, [tokens[w] for k, w in zip(own[:colon], where) if k in CLASSES["NAME"] or k in CLASSES["CONST"]])
+                    colon = DEF_ENDS[own]
+                    waiting = Definition(tokens[where[name_at]], begun, [tokens[w] for k, w in zip(own[:colon], where) if k in _WORD_KINDS])
                     waiting.first = begun
                     running.append((width[0], waiting))
                     out.append(waiting)
@@ -420,7 +432,7 @@ def parse(text: str, definitions: bool = False) -> Parsed:
         indent = token[1:]
     for _, open_definition in running:
         open_definition.last = last_line
-    bad = close(1)
+    bad = close(1, len(tokens))
     if bad >= 0:
         return failed(bad, "block")
     symbols = "".join(levels[0])

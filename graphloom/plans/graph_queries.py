@@ -218,9 +218,9 @@ def line_coerce(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "func_defs").select("row_id", F.when(F.col("line_no") == 0, 1).otherwise(F.col("line_no")).cast("int").alias("line"))
 
 
-@query("SELECT row_id, name FROM func_defs WHERE list_has_all(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: t <> ''), ['lexer', 'flush'])")
+@query("SELECT row_id, name FROM func_defs WHERE list_has_all(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: t <> ''), ['trace', 'callee'])")
 def term_match_all(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "func_defs").filter(X.all_terms(F.col("name"), "flush lexer")).select("row_id", "name")
+    return table(s, d, "func_defs").filter(X.all_terms(F.col("name"), "callee trace")).select("row_id", "name")
 
 
 @query("SELECT row_id, name FROM func_defs WHERE regexp_matches(name, '^_?(flush|merge)_[a-z]+$')")
@@ -583,11 +583,11 @@ _KNN = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x A
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) """
 
 
-@query(_KNN + "SELECT query_id, vec_id, round(similarity, 5) AS similarity FROM k WHERE rank <= 10")
+@query(_KNN + "SELECT query_id, vec_id, rank FROM k WHERE rank <= 10")
 def knn_by_id(s: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every vector whose id is divisible by 100, itself included."""
     e = table(s, d, "embeddings")
-    return search.nearest(e.filter("vec_id % 100 = 0"), e, 10, 64).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return search.nearest(e.filter("vec_id % 100 = 0"), e, 10, 64).select("query_id", "vec_id", "rank")
 
 
 @query(_KNN + "SELECT query_id, vec_id FROM (SELECT k.query_id, k.vec_id, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS r2 FROM k JOIN func_defs f ON f.row_id = k.vec_id WHERE k.rank <= 20 AND (f.file LIKE '%.py')) WHERE r2 <= 10")

@@ -16,13 +16,17 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), a fresh local one per session."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        shared = tempfile.mkdtemp(prefix="graphloom-shared-")
+        shared = _OWN_FOLDERS.get(spark.sparkContext.applicationId)
+    if not shared:
+        shared = _OWN_FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="graphloom-shared-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 

@@ -68,8 +68,9 @@ trailer <- "." NAME / "(" args? ")" / "[" slices "]"
 args <- named for_ifs / positional ("," keywords)? ","? / keywords ","?
 positional <- pos_arg ("," pos_arg)*
 pos_arg <- "*" expr / named !"="
-keywords <- key_arg ("," key_arg)*
-key_arg <- NAME "=" expr / "**" expr / "*" expr
+keywords <- key_or_star ("," key_or_star)* ("," key_or_double)* / key_or_double ("," key_or_double)*
+key_or_star <- NAME "=" expr / "*" expr
+key_or_double <- NAME "=" expr / "**" expr
 slices <- slice ("," slice)* ","?
 slice <- expr? ":" expr? (":" expr?)? / named / "*" bits
 atom <- NAME / NUMBER / STR+ !BYTES / BYTES+ !STR / CONST / group / list / braces

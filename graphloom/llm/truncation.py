@@ -89,7 +89,8 @@ def ending(text: str | None, lang: str | None = None, source: str | None = None)
     if re.match(r"\s*(?:```|~~~|-{3,}|={3,}|\*{3,})", last) or not last:
         return "complete", "", spare
     if last.lstrip().startswith("|"):
-        return ("complete" if last.endswith("|") else "cut"), "", spare
+        cells = lines[-2].count("|") if len(lines) > 1 and lines[-2].lstrip("> ").startswith("|") else 0
+        return ("complete" if last.endswith("|") and last.count("|") >= cells else "cut"), "", spare
     if _ENDED.search(last):
         return "complete", "", spare
     words = _WORDS.findall(last)

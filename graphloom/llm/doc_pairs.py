@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,13 +41,17 @@ FILLERS = frozenset(
     " short long self cls value values result results input inputs output outputs init initialise initialize initializer constructor construct ctor destructor dunder main simple simply just basic generic default used use uses using define defines definition"
     " performs perform performing executes execute call calls called calling given here name named code void none null int char double float bool str string struct static const unsigned".split()
 )
-#: Every stand-in holds one of these.
-_TRIGGER = re.compile(r"(?i)to\s?do|fix\s?me|xxx|hack|tb[da]|wip|no\s|no-?doc|documented|n\s*/\s*a|no(?:ne|thing)|place|stub|generated|fill|see\s|add\s|write\s|insert|missing|needs?\s|put\s|doc|descri|explain|self-|inherit|same as|work in|coming|later|lorem")
+#: Every stand-in holds one of these (in lower case, blanks made single).
+_TRIGGERS = (
+    "todo", "to do", "fixme", "fix me", "xxx", "hack", "tbd", "tba", "wip", "no ", "doc", "n/a", "n /", "n/ a", "none", "nothing", "place", "stub", "generated", "fill", "see ", "add ",
+    "write ", "insert", "missing", "need", "put ", "descri", "explain", "self", "inherit", "same as", "work in", "coming", "later", "lorem",
+)
 _TAGGED = re.compile(r"[@\\:]\w")
 _TAGS = re.compile(r"[@\\:](?:param|arg|type|return|returns|rtype|brief|raises?|throws?|retval|note|see|short|details|fn|file|class|method|func|def)\b:?(?:\s*\[\w+\])?", re.IGNORECASE)
 _SUFFIXES = ("ations", "ation", "izing", "ising", "ings", "ing", "ies", "ied", "ers", "er", "ors", "or", "es", "ed", "s", "e", "y")
 
 
+@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """Word without the endings of its forms (``copies``, ``copys`` and ``copy`` agree)."""
     for _ in range(2):
@@ -70,7 +75,8 @@ def informative(doc: str | None, own: list[str]) -> bool:
         return False
     text = re.sub(r"^[ \t]*(?:/\*+!?|\*+/|//+!?|\*+|#+)|\*+/[ \t]*$", " ", doc, flags=re.MULTILINE)
     text = _TAGS.sub(" ", text) if _TAGGED.search(text) else text
-    if _TRIGGER.search(text):
+    low = " ".join(text.lower().split())
+    if any(t in low for t in _TRIGGERS):
         text = STAND_INS.sub(" ", text)
     known = {stem(w) for o in own for w in words_of(o)} | {o.lower() for o in own}
     for token in re.findall(r"\w+", text):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import keyword
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from graphloom.llm.peg import Grammar, Remembered
 
@@ -155,6 +156,8 @@ def _line(kinds: str) -> tuple[str, int]:
         return ("@", 0) if ok else ("", max(far, at))
     for rule, symbol in HEADERS.items():
         end = _LINES.prefix(rule, kinds)
+        if symbol == "D" and end > 0:
+            DEF_ENDS[kinds] = end
         if end == len(kinds):
             return symbol, 0
         if end > 0:
@@ -192,11 +195,9 @@ _NUMBER = re.compile(
     rf"0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:0(?:_?0)*|[1-9](?:_?\d)*)[jJ]?|{_DIGITS}[jJ]|(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][+-]?{_DIGITS}[jJ]?"
 )
 _NUMBER_WORD = re.compile(rf"(.*?)(and|else|for|if|in|is|not|or)$")
-_FIXED = {w: CLASSES[w] for w in _WORDS if w not in ("!=",)} | {"!=": CLASSES["!="], "": "\x03"}
-_BAD = "\x01"
-_SKIP = "\x02"
-_SPECIAL = frozenset("([{)]}\n" + _SKIP)
-_OPENERS = frozenset("([{")
+_BAD, _SKIP, _BLANK = "\x01", "\x02", "\x03"
+_FIXED = {w: CLASSES[w] for w in _WORDS} | {"": _BLANK}
+_UNSEEN = frozenset(_SKIP + _BLANK + "\n")
 _WORD_KINDS = frozenset(CLASSES["NAME"] + CLASSES["CONST"])
 
 
@@ -238,7 +239,7 @@ def _fields_ok(token: str) -> bool:
                 return False
             inner = text[i + 1 : j - 1]
             plain = re.split(r"![rsa](?=[:}]|$)|(?<![=!<>]):(?!=)|=\s*$", re.sub(r"\([^()]*\)|\[[^\[\]]*\]", lambda m: "x" * len(m.group()), inner))[0]
-            kinds = "".join(k for k in (TOKENS[t] for t in _MASTER.findall("(" + inner[: len(plain)] + ")")) if k not in (_SKIP, "\x03", "\n"))
+            kinds = "".join(k for k in (TOKENS[t] for t in _MASTER.findall("(" + inner[: len(plain)] + ")")) if k not in _UNSEEN)
             if not _LINES.match("group", kinds)[0]:
                 return False
             i = j
@@ -321,6 +322,15 @@ def _string_text(token: str) -> str:
     return body[3:-3] if body[:3] in ("'''", '"""') and len(body) >= 6 else body[1:-1]
 
 
+def _segment(kinds: str) -> tuple[str, int]:
+    """Classes of a physical line without comments and blanks; by how much it opens brackets."""
+    plain = kinds.replace(_SKIP, "").replace(_BLANK, "")
+    return plain, sum(map(plain.count, "([{")) - sum(map(plain.count, ")]}"))
+
+
+SEGMENTS = Remembered(_segment)
+
+
 def parse(text: str, definitions: bool = False) -> Parsed:
     """Parse one file; ``definitions`` also keeps functions with their documentation."""
     if "\0" in text:
@@ -331,19 +341,29 @@ def parse(text: str, definitions: bool = False) -> Parsed:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     tokens = _MASTER.findall(text)
-    kind_of, line_of = TOKENS, LINES
+    tokens.append("\n")
+    kinds = "".join(map(TOKENS.__getitem__, tokens))  # one class a token
     levels: list[list[str]] = [[]]  # symbols of the open blocks
     starts: list[list[int]] = [[]]  # token index of each symbol
     indents = [(0, 0)]
-    indent = re.match(r"[ \t\f]*", text).group()
-    kinds: list[str] = []
-    where: list[int] = []
-    depth, line, begun = 0, 1, 1
+    own, begin, depth, at = "", 0, 0, 0
+    segments, line_of = SEGMENTS, LINES
+    end = len(tokens)
+    lines = list(accumulate((t.count("\n") for t in tokens), initial=1)) if definitions else []
     out: list[Definition] = []
     waiting: Definition | None = None
     running: list[tuple[int, Definition]] = []  # definitions whose block isn't closed, with their indentation
     last_line = 1
 
+    def token_at(n: int) -> int:
+        """Index of the logical line's n-th token; of the end of the text if it has fewer."""
+        for i in range(begin, end):
+            if kinds[i] not in _UNSEEN:
+                if not n:
+                    return i
+                n -= 1
+        return end
+
     def failed(index: int, why: str) -> Parsed:
         row, column, last = _place(text, index)
         if why == "block" and not last:  # a header with nothing but comments below
@@ -354,90 +374,79 @@ def parse(text: str, definitions: bool = False) -> Parsed:
     def close(to: int, then: int) -> int:
         """Reduce blocks until ``to`` levels are open; index of the failing token (``then`` if the block lacks something) or -1."""
         while len(levels) > to:
-            symbols, at = "".join(levels.pop()), starts.pop()
+            symbols, places = "".join(levels.pop()), starts.pop()
             indents.pop()
             symbol, far = BLOCKS[symbols]
             if not symbol:
-                return at[far] if far < len(at) else then
+                return places[far] if far < len(places) else then
             levels[-1].append(symbol)
-            starts[-1].append(at[0])
+            starts[-1].append(places[0])
         return -1
 
-    tokens.append("\n")
-    for index, token in enumerate(tokens):
-        kind = kind_of[token]
-        if kind not in _SPECIAL:
-            if kind == "\x03":  # end of text or a lone blank
-                continue
-            if not kinds:
-                begun = line
-            kinds.append(kind)
-            where.append(index)
-            if kind in "sb" and "\n" in token:
-                line += token.count("\n")
+    for segment in kinds.split("\n"):
+        here, at = at, at + len(segment) + 1
+        if not segment:
             continue
-        if kind == _SKIP:
-            line += token == "\\\n"
+        plain, opened = segments[segment]
+        if not plain:
             continue
-        if kind != "\n":
-            if not kinds:
-                begun = line
-            depth += 1 if kind in _OPENERS else -1
-            kinds.append(kind)
-            where.append(index)
-            continue
-        line += 1
-        if depth > 0 and index < len(tokens) - 1:
+        if depth > 0:
+            own += plain
+        else:
+            own, begin, depth = plain, here, 0
+        depth += opened
+        if depth > 0 and at < end:
             continue
-        if kinds:
-            own = "".join(kinds)
-            symbols, far = line_of[own]
-            if not symbols:
-                return failed(where[far] if far < len(where) else len(tokens) - 1 if depth > 0 or far >= len(where) and index >= len(tokens) - 2 else where[-1], "statement")
-            width = (0, 0) if not indent else _columns(indent)
-            if width != indents[-1]:
-                if width[0] > indents[-1][0] and width[1] > indents[-1][1]:
-                    levels.append([])
-                    starts.append([])
-                    indents.append(width)
-                elif width in indents:
-                    bad = close(indents.index(width) + 1, where[0])
-                    if bad >= 0:
-                        return failed(bad, "block")
-                else:
-                    return failed(where[0], "indentation")
-            levels[-1].extend(symbols)
-            starts[-1].extend([where[0]] * len(symbols))
-            if definitions:
-                while running and width[0] <= running[-1][0]:
-                    running.pop()[1].last = last_line
-                last_line = line - 1
-                if waiting is not None:
-                    head = own.partition(";")[0]
-                    if symbols == "s" and "s" in head and head.strip("s()") == "":
-                        waiting.doc = _documentation([tokens[w] for k, w in zip(head, where) if k == "s"])
+        symbols, far = line_of[own]
+        if not symbols:
+            index = token_at(far)
+            return failed(index if far < len(own) or depth > 0 or at >= end else token_at(len(own) - 1), "statement")
+        indent = tokens[begin - 1][1:] if begin else text[: len(text) - len(text.lstrip(" \t\f"))]
+        width = (0, 0) if not indent else _columns(indent)
+        if width != indents[-1]:
+            if width[0] > indents[-1][0] and width[1] > indents[-1][1]:
+                levels.append([])
+                starts.append([])
+                indents.append(width)
+            elif width in indents:
+                bad = close(indents.index(width) + 1, begin)
+                if bad >= 0:
+                    return failed(bad, "block")
+            else:
+                return failed(token_at(0), "indentation")
+        levels[-1].extend(symbols)
+        starts[-1].extend([begin] * len(symbols))
+        if definitions:
+            while running and width[0] <= running[-1][0]:
+                running.pop()[1].last = last_line
+            last_line = lines[at - 1]
+            if waiting is not None:
+                head = own.partition(";")[0]
+                if symbols == "s" and "s" in head and head.strip("s()") == "":
+                    waiting.doc = _documentation([tokens[token_at(n)] for n, k in enumerate(head) if k == "s"])
+                waiting = None
+            if symbols[0] == "D":
+                colon = DEF_ENDS[own]
+                seen = [i for i in range(begin, at) if kinds[i] not in _UNSEEN]
+                name = seen[2 if own[0] == CLASSES["async"] else 1]
+                waiting = Definition(tokens[name], lines[name], [tokens[i] for k, i in zip(own[:colon], seen) if k in _WORD_KINDS])
+                waiting.first = lines[seen[0]]
+                running.append((width[0], waiting))
+                out.append(waiting)
+                if len(symbols) == 2:
+                    head = own[colon:].partition(";")[0]
+                    if "s" in head and head.strip("s()") == "":
+                        waiting.doc = _documentation([tokens[i] for k, i in zip(head, seen[colon:]) if k == "s"])
                     waiting = None
-                if symbols[0] == "D":
-                    name_at = 2 if kinds[0] == CLASSES["async"] else 1
-                    colon = DEF_ENDS[own]
-                    waiting = Definition(tokens[where[name_at]], begun, [tokens[w] for k, w in zip(own[:colon], where) if k in _WORD_KINDS])
-                    waiting.first = begun
-                    running.append((width[0], waiting))
-                    out.append(waiting)
-                    if len(symbols) == 2:
-                        head = own[colon:].partition(";")[0]
-                        if "s" in head and head.strip("s()") == "":
-                            waiting.doc = _documentation([tokens[w] for k, w in zip(head, where[colon:]) if k == "s"])
-                        waiting = None
-            kinds, where, depth = [], [], 0
-        indent = token[1:]
+    if depth > 0:
+        return failed(token_at(line_of[own][1]), "statement")
     for _, open_definition in running:
         open_definition.last = last_line
-    bad = close(1, len(tokens))
+    bad = close(1, end)
     if bad >= 0:
         return failed(bad, "block")
     symbols = "".join(levels[0])
     ok, far = MODULES[symbols]
     if not ok:
-        return failed(starts[0][far] if far < len(starts[0]) else len(tokens), "block")
+        return failed(starts[0][far] if far < len(starts[0]) else end, "block")
     return Parsed(True, definitions=out)

@@ -17,6 +17,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 _OWN_FOLDERS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,11 +46,21 @@ def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
         if old_path := getattr(old, "_graphloom_path", None):
             target = spark._jvm.org.apache.hadoop.fs.Path(old_path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Delete all tables that ``cut`` wrote in this process; call it when no result is read any more."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return n
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows and text sizes stay under the bound, else plain.
 

@@ -3,11 +3,10 @@
 Input: nodes (node, parent), each node once, parent null or another node's name.
 
 1. *Cycle separation* by pointer doubling: after k rounds each node knows its
-   ancestor 2^k steps up and how far its root is. When 2^k exceeds the number of
-   nodes, whoever has no root leads into a cycle; a node that is reached again
-   from itself by doubling, i.e. that is the 2^k-th ancestor of some node, lies
-   on the cycle.
-2. *Subtree sizes* by the same doubling: the descendants nearer than 2^(k+1) of
+   ancestor 2^k steps up and how far its root is. When a round finds no further
+   root, whoever has none leads into a cycle; when the set of their ancestors no
+   longer shrinks, doubling maps it onto itself, so it holds the nodes on cycles.
+2. *Subtree sizes* by the same rounds: the descendants nearer than 2^(k+1) of
    v are those nearer than 2^k of v and of each node exactly 2^k below v.
 3. *Heavy paths*: the child with the largest subtree (ties: smallest name)
    continues its parent's chain; doubling along heavy edges gives each node its
@@ -64,34 +63,42 @@ def class_parents(class_defs: DataFrame) -> DataFrame:
 
 
 def separate_cycles(links: DataFrame) -> DataFrame:
-    """(node, parent, root, depth, state); links: (node, parent), each node once."""
+    """(node, parent, root, depth, state, size); links: (node, parent), each node once.
+
+    Root, depth and subtree size come from the same rounds. Sizes off the trees
+    mean nothing and are null.
+    """
     links = links.filter("node is not null").select("node", "parent")
-    known = links.select(F.col("node").alias("parent"))
-    links = cut(
-        links.join(known.withColumn("there", F.lit(True)), "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"))
-    )
-    n = links.count()
-    state = links.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
-    step = 1
+    known = links.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+    links = cut(links.join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent")))
+    top = F.col("parent").isNull()
+    state = links.select("node", F.col("parent").alias("up"), F.when(top, F.col("node")).alias("root"), F.when(top, 0).otherwise(1).cast("bigint").alias("depth"), F.lit(1.0).alias("size"))
+    before = None
     while True:
-        # up: ancestor at distance step, null once the root is known; depth: steps counted so far
+        # up: ancestor at a distance that doubles every round, null once the root is known; depth: steps counted so far;
+        # size: descendants nearer than that distance, which those exactly there and theirs double (cycles: no meaning)
         at = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("d2"))
+        below = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
         state = cut(
-            state.join(at, "up", "left").select(
+            state.join(at, "up", "left")
+            .join(below, "node", "left")
+            .select(
                 "node",
                 F.when(F.col("root").isNull(), F.col("up2")).alias("up"),
                 F.coalesce("root", "root2").alias("root"),
                 F.when(F.col("root").isNull(), F.col("depth") + F.col("d2")).otherwise(F.col("depth")).alias("depth"),
+                (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"),
             ),
             state,
         )
-        step *= 2
-        still = state.filter("root is null").count()
-        if still == 0 or step > n:
+        # depths have no gaps: if a round finds no root, none is left to be found. Ancestors of the rest thin out until only cycles are left.
+        now = tuple(state.filter("root is null").agg(F.count(F.lit(1)), F.count_distinct("up")).first())
+        if now[0] == 0 and state.filter("up is not null").isEmpty() or now[0] and now == before:
             break
+        before = now
     on_cycle = state.filter("root is null").select(F.col("up").alias("node")).distinct().withColumn("on", F.lit(True))
     return (
-        links.join(state.select("node", "root", "depth"), "node")
+        links.join(state.select("node", "root", "depth", "size"), "node")
         .join(on_cycle, "node", "left")
         .select(
             "node",
@@ -99,32 +106,18 @@ def separate_cycles(links: DataFrame) -> DataFrame:
             "root",
             F.when(F.col("root").isNull(), -1).otherwise(F.col("depth")).cast("bigint").alias("depth"),
             F.when(F.col("root").isNotNull(), "rooted").when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("state"),
+            F.when(F.col("root").isNotNull(), F.col("size").cast("bigint")).alias("size"),
         )
     )
 
 
-def _subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(node, size) by doubling; tree: (node, parent) without cycles."""
-    state = tree.select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"))
-    while True:
-        below = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        at = state.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        state = cut(
-            state.join(below, "node", "left").join(at, "up", "left").select("node", F.col("up2").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")),
-            state,
-        )
-        if state.filter("up is not null").isEmpty():
-            return state.select("node", "size")
-
-
 def heavy_paths(separated: DataFrame) -> DataFrame:
     """(node, parent, root, depth, size, head, place, pos): chains and preorder positions of all rooted nodes.
 
     ``head`` is the top of the node's chain, ``place`` its distance from it; the
     descendants of a node are those of its root with a pos in (pos, pos + size).
     """
-    tree = cut(separated.filter("state = 'rooted'").select("node", "parent", "root", "depth"))
-    sized = cut(tree.join(_subtree_sizes(tree.select("node", "parent")), "node"))
+    sized = cut(separated.filter("state = 'rooted'").select("node", "parent", "root", "depth", "size"))
     heavy = sized.filter("parent is not null").groupBy("parent").agg(F.min_by("node", F.struct(-F.col("size"), "node")).alias("heavy"))
     heavy = heavy.select(F.col("heavy").alias("node"), F.lit(True).alias("is_heavy"))
     # chain heads by doubling along heavy edges
@@ -192,7 +185,7 @@ def descendants_of(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
 def class_hierarchy(class_defs: DataFrame) -> DataFrame:
     """(class_uid, root_uid, depth, state, subtree, chain_head, pos) of every class; the last three null off the trees."""
     separated = cut(separate_cycles(class_parents(class_defs)))
-    heavy = heavy_paths(separated).select("node", "size", "head", "pos")
+    heavy = heavy_paths(separated).select("node", "head", "pos")
     return separated.join(heavy, "node", "left").select(
         F.col("node").alias("class_uid"), F.coalesce("root", F.lit("")).alias("root_uid"), "depth", "state", F.col("size").alias("subtree"), F.col("head").alias("chain_head"), "pos"
     )

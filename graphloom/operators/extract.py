@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 SCHEMA = "file_id bigint, repo string, path string, kind string, name string, line int, col int, owner string, detail string, items array<string>"
 
 
@@ -233,4 +235,4 @@ def extract_facts(src_files: DataFrame, stdlib: frozenset[str] = frozenset(sys.s
             yield pd.DataFrame(rows, columns=["file_id", "repo", "path", *Fact._fields])
 
     files = src_files.filter(F.col("content").isNotNull() & F.col("path").rlike(r"\.(py|c|h)$")).select(F.col("file_id").cast("bigint").alias("file_id"), "repo", "path", "content")
-    return files.mapInPandas(run, SCHEMA)
+    return spread(files).mapInPandas(run, SCHEMA)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import small_side
+from graphloom.session import small_side, spread
 
 #: Characters that may separate values.
 DELIMITERS = ",;|\n\r\t；，、"
@@ -228,6 +228,7 @@ def split_packed(df: DataFrame, id_col: str, packed_col: str, signature_col: str
         F.col(packed_col).alias("packed"),
         (F.col(signature_col) if signature_col else F.lit(None).cast("string")).alias("signature"),
     ).filter(F.col("packed").rlike(r"\S"))
+    rows = spread(rows)
     ranked = (
         delimiter_scores(rows)
         .groupBy("source", "profile")

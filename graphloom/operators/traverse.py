@@ -51,21 +51,33 @@ def file_dependencies(import_decls: DataFrame, src_files: DataFrame) -> DataFram
     return python.select(cols).unionByName(c.select(cols)).distinct()
 
 
-def closure(seeds: DataFrame, steps: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+#: Steps that one round of a closure takes before its result is written.
+HOPS = 4
+
+
+def closure(seeds: DataFrame, steps: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """(seed, node, depth) of all nodes reachable from each seed, depth the least number of steps.
 
-    seeds: (seed, node); steps: (a, b). Breadth first: each round joins only the
-    frontier, leaves out what is known, and is written before the next.
+    seeds: (seed, node); steps: (a, b); ``max_depth`` None: to the end. Breadth
+    first, a few steps a round: each round starts from the last frontier only,
+    leaves out what is known, and is written before the next.
     """
     steps = cut(steps.select("a", "b").distinct())
-    frontier = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    known = frontier
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        frontier = cut(reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
+    frontier = known = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    done = 0
+    while max_depth is None or done < max_depth:
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - done)
+        here, reached = frontier.select("seed", "node"), None
+        for i in range(1, hops + 1):
+            here = here.join(steps, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
+            part = here.withColumn("depth", F.lit(done + i).cast("bigint"))
+            reached = part if reached is None else reached.unionByName(part)
+        new = cut(reached.groupBy("seed", "node").agg(F.min("depth").alias("depth")).join(known.select("seed", "node"), ["seed", "node"], "left_anti"))
+        done += hops
+        known = known.unionByName(new)
+        frontier = new.filter(F.col("depth") == done)
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
     return known
 
 
@@ -78,7 +90,7 @@ def impact(changed: DataFrame, dependencies: DataFrame, functions: DataFrame, ed
     key = lambda repo, path: F.concat_ws("\x1f", repo, path)
     seeds = changed.select(key("repo", "path").alias("seed"), key("repo", "path").alias("node"))
     steps = dependencies.select(key("repo", "imported").alias("a"), key("repo", "importer").alias("b"))
-    reached = closure(seeds, steps).filter("depth > 0 and seed <> node").select("seed", "node", F.lit("import").alias("category"))
+    reached = closure(seeds, steps, max_depth=None).filter("depth > 0 and seed <> node").select("seed", "node", F.lit("import").alias("category"))
     owned = functions.select("fn_uid", key("repo", "file").alias("owner"))
     calls = edges.filter("edge_type = 'callsFunction'").select("src", "dst")
     called = owned.join(seeds.select("seed"), F.col("owner") == F.col("seed")).select("seed", F.col("fn_uid").alias("dst"))

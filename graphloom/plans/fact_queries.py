@@ -14,14 +14,18 @@ def _facts(s: SparkSession, d: str) -> DataFrame:
     return extract_facts(table(s, d, "src_files"))
 
 
+def _c_facts(s: SparkSession, d: str) -> DataFrame:
+    return extract_facts(table(s, d, "src_files").filter(F.col("path").rlike(r"\.[ch]$")))
+
+
 def extract_python(s: SparkSession, d: str) -> DataFrame:
     """Facts of Python files."""
-    return _facts(s, d).filter(F.col("path").endswith(".py")).withColumn("items", F.array_join("items", ","))
+    return extract_facts(table(s, d, "src_files").filter(F.col("path").endswith(".py"))).withColumn("items", F.array_join("items", ","))
 
 
 def extract_c(s: SparkSession, d: str) -> DataFrame:
     """Facts of C files."""
-    return _facts(s, d).filter(~F.col("path").endswith(".py")).withColumn("items", F.array_join("items", ","))
+    return extract_facts(table(s, d, "src_files").filter(~F.col("path").endswith(".py"))).withColumn("items", F.array_join("items", ","))
 
 
 def fact_counts(s: SparkSession, d: str) -> DataFrame:
@@ -32,12 +36,12 @@ def fact_counts(s: SparkSession, d: str) -> DataFrame:
 
 def usages_macro(s: SparkSession, d: str) -> DataFrame:
     """Definitions and uses of macros."""
-    return _usages(_facts(s, d), "macro", "macro_usage")
+    return _usages(_c_facts(s, d), "macro", "macro_usage")
 
 
 def usages_struct(s: SparkSession, d: str) -> DataFrame:
     """Definitions of structs and accesses to their fields."""
-    f = _facts(s, d)
+    f = _c_facts(s, d)
     defs = f.filter("kind = 'struct'").select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.array_join("items", ",").alias("context"))
     known = defs.select("symbol").distinct()
     uses = f.filter("kind = 'field_access'").select(F.col("owner").alias("symbol"), F.lit("field_access").alias("type"), "path", "line", F.concat(F.lit("Field access: "), "name").alias("context"))
@@ -46,19 +50,19 @@ def usages_struct(s: SparkSession, d: str) -> DataFrame:
 
 def usages_variable(s: SparkSession, d: str) -> DataFrame:
     """Definitions of variables with their types."""
-    f = _facts(s, d).filter("kind = 'variable'")
+    f = _c_facts(s, d).filter("kind = 'variable'")
     return f.select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Variable definition: "), "detail").alias("context"))
 
 
 def usages_typedef(s: SparkSession, d: str) -> DataFrame:
     """Definitions of typedefs."""
-    f = _facts(s, d).filter("kind = 'typedef'")
+    f = _c_facts(s, d).filter("kind = 'typedef'")
     return f.select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Typedef: "), "detail").alias("context"))
 
 
 def field_access(s: SparkSession, d: str) -> DataFrame:
     """Struct field accesses with their kind."""
-    return _facts(s, d).filter("kind = 'field_access'").select(F.col("owner").alias("struct_name"), F.col("name").alias("field_name"), "path", "line", "col", F.col("detail").alias("access_type"))
+    return _c_facts(s, d).filter("kind = 'field_access'").select(F.col("owner").alias("struct_name"), F.col("name").alias("field_name"), "path", "line", "col", F.col("detail").alias("access_type"))
 
 
 def calls_resolved(s: SparkSession, d: str) -> DataFrame:

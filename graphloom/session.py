@@ -73,6 +73,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if n <= rows and total <= size else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over at least as many partitions as there are cores; many-file tables pass unchanged.
+
+    Parsing costs far more than reading, and a small table may be one row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: str = "*", app: str = "graphloom", partitions: int = 8) -> SparkSession:
     """Session for tests and benches in one JVM."""
     return (

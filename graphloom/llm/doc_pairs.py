@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.python_source import Definition
 from graphloom.llm.source_check import SUFFIX, parse_as
+from graphloom.session import spread
 
 _WORD = re.compile(r"[A-Z]+(?![a-zäöüß])|[A-ZÄÖÜ]?[a-zäöüß]+|\d+|[^\W\d_a-zA-Z]+")
 #: Remarks that stand in for documentation (fixed values).
@@ -108,4 +109,4 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def documented_functions(src_files: DataFrame) -> DataFrame:
     """(file_id, def_line, name, doc, code) of each informatively documented function."""
     files = src_files.select(F.col("file_id").cast("bigint").alias("file_id"), F.regexp_extract(F.coalesce("path", F.lit("")), SUFFIX, 1).alias("suffix"), "content")
-    return files.filter("content is not null and suffix <> ''").mapInPandas(_pairs, "file_id bigint, def_line bigint, name string, doc string, code string")
+    return spread(files.filter("content is not null and suffix <> ''")).mapInPandas(_pairs, "file_id bigint, def_line bigint, name string, doc string, code string")

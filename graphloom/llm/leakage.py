@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 WINDOW = 6
 RADIUS = 3
 #: Share of an item's words that makes a leak.
@@ -267,7 +269,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share) of each evaluation item that a document holds."""
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, share double"
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null"))
     wanted = items.select(F.col("item_id").cast("bigint"), "item_text").filter("item_text is not null")
     found: DataFrame | None = None
     for rows in _blocks(wanted):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.session import cut, small_side
+from graphloom.session import cut, small_side, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bits of the hash that one level of buckets resolves, and levels (60 bits in all).
@@ -68,7 +68,7 @@ def token_sizes(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byt
 
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), 4)
     docs = documents.filter("source is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", h.alias("h"), "text")
-    return docs.mapInPandas(count, "doc_id bigint, source string, h bigint, tokens bigint")
+    return spread(docs).mapInPandas(count, "doc_id bigint, source string, h bigint, tokens bigint")
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def mixture(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, tokens, copies) and the report of actual shares."""
     listed = small_side(targets.select("source").filter("source is not null").distinct())
-    sizes = cut(token_sizes(documents.join(listed, "source", "left_semi"), folder))
+    sizes = cut(token_sizes(documents, folder).join(listed, "source", "left_semi"))
     plan = budgets(sizes, targets, total)
     mixed = cut(mixture(sizes, plan))
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("used_documents"), F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"))

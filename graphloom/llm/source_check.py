@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import c_source, python_source
 from graphloom.llm.python_source import Parsed
+from graphloom.session import spread
 
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7}|\|{7})(?:[ \t].*)?$")
 SUFFIX = r"\.(py|c|h)$"
@@ -64,7 +65,7 @@ def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def check_files(src_files: DataFrame) -> DataFrame:
     """(file_id, repo, lang, suffix, valid, line, col, cause) of each file with content in a known language."""
     files = src_files.select(F.col("file_id").cast("bigint").alias("file_id"), "repo", "lang", F.regexp_extract(F.coalesce("path", F.lit("")), SUFFIX, 1).alias("suffix"), "content")
-    return files.filter("content is not null and suffix <> ''").mapInPandas(
+    return spread(files.filter("content is not null and suffix <> ''")).mapInPandas(
         _check, "file_id bigint, repo string, lang string, suffix string, valid boolean, line int, col int, cause string"
     )
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.source_check import parse_as
-from graphloom.session import cut, small_side
+from graphloom.session import cut, small_side, spread
 
 #: What may stand after a break: ellipses, broken characters, bracketed remarks of cutting.
 _MARKER = re.compile(r"(?:\s*(?:…|\.{3,}|�|\[(?:…|\.{3}|[^\]\n]*(?:truncated|cut|more|snip)[^\]\n]*)\]|\((?:…|\.{3}|[^)\n]*(?:truncated|cut off|snip|read more|continued)[^)\n]*)\)))+\s*$", re.IGNORECASE)
@@ -178,7 +178,7 @@ def judged_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
 def judge_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, source, n, form, truncated) of every document."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").withColumn("h", F.xxhash64("text"))
-    ends = cut(docs.mapInPandas(_endings, "doc_id bigint, source string, h bigint, form string, word string, spare int, n int"))
+    ends = cut(spread(docs).mapInPandas(_endings, "doc_id bigint, source string, h bigint, form string, word string, spare int, n int"))
     open_ends = ends.filter("form <> 'complete'").select("h", "spare").distinct()
     # values: texts as they are, those that may be cut without what follows the break
     values = docs.filter("text is not null").select("h", "text").dropDuplicates(["h"]).join(open_ends, "h", "left")

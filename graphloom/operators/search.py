@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Queries per broadcast block.
 QUERIES_PER_BLOCK = 4096
+#: Rows scored at once in a task (queries times this many similarities are in memory).
+ROWS_AT_ONCE = 1024
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,15 +39,20 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, dim: int) -> DataFrame:
         def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.array([i for i, _ in shared.value])
             asked = _unit(np.array([v for _, v in shared.value], dtype=np.float64))
+            top, who = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
             for frame in frames:
-                vectors = [np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in frame["embedding"]]
-                good = [n for n, v in enumerate(vectors) if len(v) == dim and np.isfinite(v).all()]
-                if not good:
-                    continue
-                rows_ids = frame["vec_id"].to_numpy()[good]
-                similarity = np.round(asked @ _unit(np.stack([vectors[n] for n in good])).T, 6)
-                order = np.lexsort((np.broadcast_to(rows_ids, similarity.shape), -similarity), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": rows_ids[order].ravel(), "similarity": np.take_along_axis(similarity, order, axis=1).ravel()})
+                for at in range(0, len(frame), ROWS_AT_ONCE):
+                    part = frame.iloc[at : at + ROWS_AT_ONCE]
+                    vectors = [np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in part["embedding"]]
+                    good = [n for n, v in enumerate(vectors) if len(v) == dim and np.isfinite(v).all()]
+                    if not good:
+                        continue
+                    similarity = np.round(asked @ _unit(np.stack([vectors[n] for n in good])).T, 6)
+                    similarity = np.concatenate([top, similarity], axis=1)
+                    owner = np.concatenate([who, np.broadcast_to(part["vec_id"].to_numpy()[good], (len(ids), len(good)))], axis=1)
+                    order = np.lexsort((owner, -similarity), axis=1)[:, :k]
+                    top, who = np.take_along_axis(similarity, order, axis=1), np.take_along_axis(owner, order, axis=1)
+            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "vec_id": who.ravel(), "similarity": top.ravel()})
 
         return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInPandas(best, schema)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import embed, search
 from graphloom.operators.extract import extract_facts
 from graphloom.operators.nodes import first_by
+from graphloom.session import cut, spread
 from graphloom.sources.tables import table
 
 
@@ -77,11 +79,19 @@ def calls_resolved(s: SparkSession, d: str) -> DataFrame:
     return joined.select("repo", "path", "caller", F.col("name").alias("callee"), "at", target.alias("target_path"), F.coalesce("own_line", "any_line").alias("target_line"))
 
 
+def semantic_search(s: SparkSession, d: str) -> DataFrame:
+    """Ten functions nearest to each function whose row id is divisible by 100, by the vectors of their texts."""
+    f = spread(table(s, d, "func_defs").select("row_id", "name", "signature", "docstring"))
+    vectors = cut(embed.embed(f, "row_id", embed.function_text(F.col("name"), F.col("signature"), F.col("docstring"))))
+    near = search.nearest(vectors.filter("vec_id % 100 = 0"), vectors, 10, embed.DIMENSION)
+    return near.join(f.select(F.col("row_id").alias("vec_id"), "name"), "vec_id").select("query_id", "vec_id", "name", "similarity", "rank")
+
+
 def _usages(f: DataFrame, kind: str, use: str) -> DataFrame:
     defs = f.filter(F.col("kind") == kind).select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.coalesce("detail", F.lit("")).alias("context"))
     uses = f.filter(F.col("kind") == use).select(F.col("name").alias("symbol"), F.lit("usage").alias("type"), "path", F.lit(0).alias("line"), F.coalesce("owner", F.lit("")).alias("context")).distinct()
     return defs.unionByName(uses)
 
 
-QUERIES = {f.__name__: f for f in (extract_python, extract_c, fact_counts, usages_macro, usages_struct, usages_variable, usages_typedef, field_access, calls_resolved)}
+QUERIES = {f.__name__: f for f in (extract_python, extract_c, fact_counts, usages_macro, usages_struct, usages_variable, usages_typedef, field_access, calls_resolved, semantic_search)}
 SQL: dict[str, str] = {}

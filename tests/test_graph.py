@@ -5,7 +5,8 @@ import time
 import numpy as np
 
 from graphloom.functions import exprs as X
-from graphloom.operators import extract, search, snapshots, traverse
+from graphloom.operators import embed, extract, search, snapshots, traverse
+from graphloom.sources import files
 from graphloom.streaming import debounce
 from pyspark.sql import functions as F
 
@@ -99,3 +100,25 @@ def test_watch_folder(spark, tmp_path):
     q.stop()
     time.sleep(0.1)
     assert sorted(seen) == ["a.py", "c.h"]
+
+
+def test_source_scan_and_export(spark, tmp_path):
+    for p, text in {"a/b.py": b"x = 1\n", "a/c.h": b"int x;\n", "build/z.py": b"y", "a/__pycache__/q.py": b"y", "outer/w.c": "gr\u00fc\u00df".encode(), "notes.md": b"#", "k.cpp": b"x"}.items():
+        (tmp_path / "src" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / p).write_bytes(text)
+    found = files.scan_sources(spark, str(tmp_path / "src"), "r")
+    assert {(r.path, r.lang, r.content) for r in found.collect()} == {("a/b.py", "python", "x = 1\n"), ("a/c.h", "c", "int x;\n"), ("outer/w.c", "c", "gr\u00fc\u00df")}
+    files.export_json(found.select("path", "lang"), str(tmp_path / "out"), by="lang")
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_embedding(spark):
+    rows = [(1, "load_page", "load_page(x)", "Loads a page."), (2, "load_pages", "load_pages(x)", None), (3, "zip_all", "", ""), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, name string, signature string, docstring string")
+    v = embed.embed(df, "row_id", embed.function_text(F.col("name"), F.col("signature"), F.col("docstring")))
+    got = {r.vec_id: r.embedding for r in v.collect()}
+    assert not any(got[4]) and abs(sum(x * x for x in got[1]) - 1) < 1e-5
+    near = [(r.query_id, r.vec_id) for r in search.nearest(v.filter("vec_id = 1"), v, 2, embed.DIMENSION).orderBy("rank").collect()]
+    assert near == [(1, 1), (1, 2)]
+    text = df.select(embed.listed_text(F.col("name"), "Methods", F.array(F.lit("a"), F.lit("b"))).alias("t")).first().t
+    assert text == "load_page\nMethods: a, b"

@@ -151,6 +151,12 @@ def _declared_names(tokens: list[_Token]) -> list[str]:
     return [x for x in out if x not in _TYPES]
 
 
+def _variable_use(t: _Token, function: str | None, scopes: set[str | None]) -> Fact:
+    """Use of a variable; of those of its name the function's own comes first, then the file's, then any."""
+    scope = "local" if function in scopes and function is not None else "global" if None in scopes else "other"
+    return Fact("variable_usage", t.text, t.line, t.col, function, scope)
+
+
 def c_facts(content: str) -> Iterator[Fact]:
     """Functions and prototypes, structs, includes, typedefs, object macros, variables, calls and field accesses."""
     tokens, directives = _c_tokens(content)
@@ -162,6 +168,8 @@ def c_facts(content: str) -> Iterator[Fact]:
             macros.add(m[1])
             yield Fact("macro", m[1], d.line, d.col, None, (m[2] or "").strip() or None)
     types: dict[str, str] = {}
+    aliases: set[str] = set()
+    scopes: dict[str, set[str | None]] = {}  # functions (None: the file) that declare a variable
     function, i, n = None, 0, len(tokens)
     while i < n:
         t = tokens[i]
@@ -186,6 +194,7 @@ def c_facts(content: str) -> Iterator[Fact]:
             end = next((j for j in range(i, n) if tokens[j].text == ";"), n - 1)
             words = [x.text for x in tokens[i + 1 : end] if x.kind == "word"]
             if words:
+                aliases.add(words[-1] if "(" not in [x.text for x in tokens[i:end]] else words[min(1, len(words) - 1)])
                 yield Fact("typedef", words[-1] if "(" not in [x.text for x in tokens[i:end]] else words[min(1, len(words) - 1)], t.line, t.col, None, " ".join(words[:-1]) or "unknown")
             i = end + 1
             continue
@@ -216,7 +225,14 @@ def c_facts(content: str) -> Iterator[Fact]:
             if (j < 0 or tokens[j].text in (";", "{", "}")) and words and words[0] not in ("return", "goto", "else", "case") and words[0] != "*":
                 plain = [w for w in words if w not in _STORAGE]
                 types[t.text] = next((w for w in reversed(plain) if w != "*"), "")
+                scopes.setdefault(t.text, set()).add(function)
                 yield Fact("variable", t.text, t.line, t.col, function, " ".join(plain), ["global" if function is None else "local", *(w for w in words if w in _STORAGE)])
+            elif t.text in scopes:
+                yield _variable_use(t, function, scopes[t.text])
+        elif t.kind == "word" and t.text in scopes and before not in (".", "->"):
+            yield _variable_use(t, function, scopes[t.text])
+        elif t.kind == "word" and t.text in aliases:
+            yield Fact("typedef_usage", t.text, t.line, t.col, function)
         i += 1
 
 

@@ -51,15 +51,19 @@ def usages_struct(s: SparkSession, d: str) -> DataFrame:
 
 
 def usages_variable(s: SparkSession, d: str) -> DataFrame:
-    """Definitions of variables with their types."""
-    f = _c_facts(s, d).filter("kind = 'variable'")
-    return f.select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Variable definition: "), "detail").alias("context"))
+    """Definitions of variables with their types, and their uses."""
+    f = _c_facts(s, d)
+    defs = f.filter("kind = 'variable'").select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Variable definition: "), "detail").alias("context"))
+    uses = f.filter("kind = 'variable_usage'").select(F.col("name").alias("symbol"), F.lit("usage").alias("type"), "path", "line", F.concat(F.lit("Used in function "), F.coalesce("owner", F.lit("module"))).alias("context"))
+    return defs.unionByName(uses)
 
 
 def usages_typedef(s: SparkSession, d: str) -> DataFrame:
-    """Definitions of typedefs."""
-    f = _c_facts(s, d).filter("kind = 'typedef'")
-    return f.select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Typedef: "), "detail").alias("context"))
+    """Definitions of typedefs and the files that use them."""
+    f = _c_facts(s, d)
+    defs = f.filter("kind = 'typedef'").select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.concat(F.lit("Typedef: "), "detail").alias("context"))
+    uses = f.filter("kind = 'typedef_usage'").select(F.col("name").alias("symbol"), F.lit("usage").alias("type"), "path", F.lit(0).alias("line"), F.lit("").alias("context")).distinct()
+    return defs.unionByName(uses)
 
 
 def field_access(s: SparkSession, d: str) -> DataFrame:

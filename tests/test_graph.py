@@ -61,6 +61,9 @@ def test_c_facts():
     assert [(n, o, d) for n, o, d, _ in by("field_access")] == [("v", "node", "pointer")]
     assert [(n, o) for n, o, *_ in by("variable")] == [("count", None), ("n", "use")]
     assert [n for n, *_ in by("macro_usage")] == ["LIMIT"]
+    more = list(extract.c_facts("typedef int word;\nint total;\nvoid f(void) {\n    int n;\n    word w;\n    n = total;\n}\nvoid g(void) { n = 1; }\n"))
+    assert [(f.name, f.owner, f.detail) for f in more if f.kind == "variable_usage"] == [("n", "f", "local"), ("total", "f", "global"), ("n", "g", "other")]
+    assert [(f.name, f.owner) for f in more if f.kind == "typedef_usage"] == [("word", "f")]
 
 
 def test_extraction_isolates_bad_files(spark):

@@ -30,6 +30,7 @@ each count; ids are kept as they are.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -226,7 +227,6 @@ class Block:
     def leaks(self, documents: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(position of the document, item id, share) of each leak."""
         lengths = np.array([len(d) for d in documents])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
         hashes = np.concatenate([hashes_of(d) for d in documents]) if len(documents) else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(documents)), lengths)
         pairs: set[int] = set()
@@ -249,7 +249,17 @@ class Block:
             share = item.share_in(words, shingles[item.k])
             if share >= SHARE - 1e-9:
                 yield d, self.ids[i], share
-        assert starts[-1] == len(hashes)
+
+
+#: The last block of items that this worker process indexed, for the tasks to come.
+_LAST: dict[str, Block] = {}
+
+
+def _block_of(key: str, rows: list[tuple[int, str]]) -> Block:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Block(rows)
+    return _LAST[key]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -275,8 +285,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     for rows in _blocks(wanted):
         shared = spark.sparkContext.broadcast(rows)
 
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = Block(shared.value)
+        def search(frames: Iterator[pd.DataFrame], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            block = _block_of(key, shared.value)
             for frame in frames:
                 ids, texts, out = frame["doc_id"].tolist(), frame["text"].tolist(), []
                 at = 0

@@ -55,3 +55,12 @@ def test_empty_table_repeated_rows_long_text_and_other_columns(spark):
     got = split_packed(df, "row_id", "parameters", "signature", ("source",)).collect()
     assert sorted((r.row_id, r.pos) for r in got if r.row_id == 1) == [(1, 1), (1, 1), (1, 2), (1, 2)]
     assert sum(r.row_id == 2 for r in got) == 20000
+
+
+def test_counts_agree_with_all_signatures(spark, small):
+    from graphloom.operators.packed_fields import function_parameters
+
+    rows = spark.read.parquet(f"{small}/func_defs.parquet")
+    counts = {r.row_id: r["count"] for r in function_parameters(rows).groupBy("row_id").count().collect()}
+    for r in rows.filter("signature is not null").filter(r"parameters rlike '\\S'").select("row_id", "signature").collect():
+        assert counts.get(r.row_id, 0) == declared(r.signature)

@@ -11,27 +11,34 @@ comment signs and line layout are gone. Then
 2. *Multi-index Hamming*: fingerprints are cut into ``RADIUS`` + 1 blocks. Two
    fingerprints within the radius agree in at least one block, so looking up all
    blocks finds every window pair within the radius;
-3. *Verification*: items with a window in reach are aligned exactly: runs of
-   common word shingles are chained in the item's order, close together; the
-   weight of a run is the number of item words it covers, gaps between chained
-   runs add their longest common subsequence. A document holds an item if the
-   chain covers at least ``SHARE`` of the item's words.
+3. *Loose shingles*: changes a few words apart leave no window in reach, so all
+   ``SHINGLE`` words of an item that follow each other in steps of at most
+   ``NEAR`` are looked up among those of the documents. A pair is a candidate as
+   well if the item words in common loose shingles make up the share. What is
+   counted in 4. stands in such a shingle, so no leak is missed;
+4. *Verification*: the best alignment is found by dynamic programming over all
+   words that item and document share. A stretch is ``SHINGLE`` or more words in
+   the item's order, each at most ``NEAR`` words after the one before in both
+   texts (single changed, added or dropped words don't end it); stretches are
+   chained in the item's order, close together. A document holds an item if a
+   chain has at least ``SHARE`` of the item's words.
 
 Items are the stated query set: they are taken in blocks of bounded size, each
 block's index is broadcast to the tasks, and all documents pass by; nothing of
 the documents is shuffled. However many items there are, every block is held
 against all documents.
 
-Cases: null or wordless texts and items leak nothing; an item shorter than a
-window must occur with at least its share as well; repeated documents and items
+Cases: null or wordless texts and items leak nothing; items under four words may
+have one word changed, those under three none; repeated documents and items
 each count; ids are kept as they are.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +55,12 @@ RADIUS = 3
 SHARE = 0.4
 #: Words between two runs, and difference of their distances in item and document, that still count as close.
 GAP, SHIFT = 24, 16
-SHINGLE = 3
+#: Least words of a stretch, and most words from one of them to the next.
+SHINGLE, NEAR = 3, 2
 #: Items per broadcast block; their texts are bounded as well.
 ITEMS_PER_BLOCK, TEXT_PER_BLOCK = 20_000, 32 << 20
 _CHUNK = 24_000  # words fingerprinted at once in a task
+_HITS, _PLACES = 2_000_000, 16 << 20  # common shingles, and item words times documents, counted at once in a task (a single document may have more)
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&#?\w{1,8};")
 _WORD = re.compile(r"[^\W_]+")
@@ -152,57 +161,123 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def stretch_of(words: int) -> int:
+    """Least words of a stretch for an item of so many words."""
+    return min(SHINGLE, max(min(words, 2), words - 1))
+
+
+def loose_shingles(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, places) of all ``k`` words in steps of at most ``NEAR``; places has a row of ``k`` positions for each."""
+    keys, places = [], []
+    for steps in itertools.product(range(1, NEAR + 1), repeat=k - 1):
+        offsets = [0, *itertools.accumulate(steps)]
+        at = np.arange(max(0, len(hashes) - offsets[-1]))[:, None] + np.array(offsets)
+        key = np.zeros(len(at), dtype=np.uint64)
+        for column in at.T:
+            key = (key ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys.append(key)
+        places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+class ShingleIndex:
+    """Loose shingles of items that have the same least stretch."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], k: int) -> None:
+        self.k, self.owners = k, np.array([i for i, _ in items])
+        lengths = np.array([len(h) for _, h in items])
+        self.starts = np.cumsum(lengths) - lengths
+        self.words = int(lengths.sum())
+        self.need = np.ceil(SHARE * lengths - 1e-9)
+        found = [loose_shingles(h, k) for _, h in items]
+        keys = np.concatenate([key for key, _ in found])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.places = np.concatenate([(at + start).astype(np.int32) for (_, at), start in zip(found, self.starts)])[order]
+
+    def search(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(document, item) if the item words in common loose shingles make up the share; owner: the document of each word, ascending."""
+        keys, at = loose_shingles(hashes, self.k)
+        docs = owner[at[:, 0]]
+        inside = docs == owner[at[:, -1]]
+        keys, docs = keys[inside], docs[inside]
+        order = np.lexsort((keys, docs))
+        keys, docs = keys[order], docs[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        keys, docs = keys[new], docs[new]
+        begin = np.searchsorted(self.keys, keys, "left")
+        count = np.searchsorted(self.keys, keys, "right") - begin
+        hit = count > 0
+        docs, begin, count = docs[hit], begin[hit], count[hit]
+        total = np.cumsum(count)
+        first = 0
+        while first < len(docs):
+            # whole documents, up to so many hits and places
+            last = int(np.searchsorted(total, (total[first - 1] if first else 0) + _HITS, "right"))
+            last = min(last, int(np.searchsorted(docs, docs[first] + max(1, _PLACES // self.words), "left")))
+            if last < len(docs):
+                last = int(np.searchsorted(docs, docs[last], "left"))
+            if last <= first:
+                last = int(np.searchsorted(docs, docs[first], "right"))
+            b, c = begin[first:last], count[first:last]
+            found = np.repeat(b, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            row = np.repeat(docs[first:last] - docs[first], c)
+            seen = np.zeros((int(docs[last - 1] - docs[first]) + 1, self.words), dtype=bool)
+            for column in self.places.T:
+                seen[row, column[found]] = True
+            d, i = np.nonzero(np.add.reduceat(seen, self.starts, axis=1, dtype=np.int32) >= self.need)
+            yield from zip((d + docs[first]).tolist(), self.owners[i].tolist())
+            first = last
+
+
 class Item:
-    """An item's words and the places of its shingles."""
+    """An item's words, aligned with documents."""
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
-        self.k = min(SHINGLE, len(words))
-        self.places: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for p in range(len(words) - self.k + 1):
-            self.places[tuple(words[p : p + self.k])].append(p)
+        self.k = stretch_of(len(words))
+        self.places: dict[str, list[int]] = defaultdict(list)
+        for p, word in enumerate(words):
+            self.places[word].append(p)
 
-    def share_in(self, words: list[str], shingles: list[tuple[str, ...]]) -> float:
+    def share_in(self, words: list[str]) -> float:
         """Share of the item's words that a document holds in order and close together."""
-        k, find = self.k, self.places.get
-        runs: list[list[int]] = []
-        last: dict[int, list[int]] = {}
-        for q, s in enumerate(shingles):
-            for p in find(s, ()):
-                run = last.get(q - p)
-                if run is not None and run[1] + run[2] - k + 1 == q:
-                    run[2] += 1
-                else:
-                    last[q - p] = run = [p, q, k]
-                    runs.append(run)
-        need = SHARE * len(self.words)
-        if sum(r[2] for r in runs) * 2 < need:
+        k, need = self.k, SHARE * len(self.words) - 1e-9
+        if common_words(self.words, words) < need:
             return 0.0
-        best: list[int] = []
-        back: list[int] = []
-        first = 0
-        for i, (p, q, n) in enumerate(runs):
-            while runs[first][1] + runs[first][2] + GAP + len(self.words) < q:
-                first += 1
-            value, origin = n, -1
-            for j in range(first, i):
-                p2, q2, n2 = runs[j]
-                over = max(0, p2 + n2 - p, q2 + n2 - q)
-                if p2 < p and q2 < q and over < n and q - q2 - n2 <= GAP and abs((q - q2) - (p - p2)) <= SHIFT and best[j] + n - over > value:
-                    value, origin = best[j] + n - over, j
-            best.append(value)
-            back.append(origin)
-        if not best or max(best) * 1.6 < need:
-            return 0.0
-        covered = 0.0
-        for end in sorted(range(len(best)), key=best.__getitem__, reverse=True)[:3]:
-            value, i = best[end], end
-            while back[i] >= 0:
-                j = back[i]
-                value += common_words(self.words[runs[j][0] + runs[j][2] : runs[i][0]], words[runs[j][1] + runs[j][2] : runs[i][1]])
-                i = j
-            covered = max(covered, value)
-        return covered / len(self.words)
+        # recent[q][p][j]: most words of a chain that ends with item word p at q as word j + 1 (the last: or later) of its stretch
+        recent: dict[int, dict[int, list[int]]] = {}
+        ended: deque[tuple[int, int, int]] = deque()  # (q, p, words) of chains that end with a whole stretch
+        most = 0
+        for q, word in enumerate(words):
+            recent.pop(q - NEAR - 1, None)
+            while ended and ended[0][0] < q - GAP - 1:
+                ended.popleft()
+            found = self.places.get(word)
+            if not found:
+                continue
+            here = recent.setdefault(q, {})
+            whole = []
+            for p in found:
+                before = 0
+                for q2, p2, n in ended:
+                    if n > before and p2 < p and abs((q - q2) - (p - p2)) <= SHIFT:
+                        before = n
+                here[p] = state = [0] * k
+                for q2, column in recent.items():
+                    for p2 in range(p - NEAR, p) if q2 < q else ():
+                        for j, n in enumerate(column.get(p2, ())):
+                            to = min(j + 1, k - 1)
+                            if n and n >= state[to]:
+                                state[to] = n + 1
+                state[0] = max(state[0], before + 1)
+                if state[-1]:
+                    whole.append((q, p, state[-1]))
+                    most = max(most, state[-1])
+            ended.extend(whole)
+        return most / len(self.words)
 
 
 class Block:
@@ -213,6 +288,7 @@ class Block:
         self.items: list[Item] = []
         prints: dict[int, list[np.ndarray]] = defaultdict(list)
         owners: dict[int, list[np.ndarray]] = defaultdict(list)
+        loose: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, text in rows:
             if not (words := words_of(text)):
                 continue
@@ -220,9 +296,11 @@ class Block:
             found = fingerprints(hashes_of(words), size)
             prints[size].append(found)
             owners[size].append(np.full(len(found), len(self.items)))
+            loose[stretch_of(len(words))].append((len(self.items), hashes_of(words)))
             self.ids.append(item_id)
             self.items.append(Item(words))
         self.indexes = {size: (HammingIndex(np.concatenate(p)), np.concatenate(owners[size])) for size, p in prints.items()}
+        self.shingles = [ShingleIndex(found, k) for k, found in loose.items()]
 
     def leaks(self, documents: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(position of the document, item id, share) of each leak."""
@@ -238,15 +316,11 @@ class Block:
             inside = np.flatnonzero(owner[: len(found)] == owner[size - 1 : size - 1 + len(found)])
             a, b = index.search(found[inside])
             pairs.update(np.unique(owner[inside[a]] * many + items[b]).tolist())
-        at, shingles = -1, {}
+        for shingles in self.shingles:
+            pairs.update(d * many + i for d, i in shingles.search(hashes, owner))
         for pair in sorted(pairs):
             d, i = divmod(pair, many)
-            if d != at:
-                at, shingles = d, {}
-            item, words = self.items[i], documents[d]
-            if item.k not in shingles:
-                shingles[item.k] = list(zip(*(words[o:] for o in range(item.k))))
-            share = item.share_in(words, shingles[item.k])
+            share = self.items[i].share_in(documents[d])
             if share >= SHARE - 1e-9:
                 yield d, self.ids[i], share
 

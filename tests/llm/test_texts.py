@@ -72,6 +72,50 @@ def test_common_words():
     assert leakage.common_words(list("abcde"), list("xbydz")) == 2 and leakage.common_words([], ["a"]) == 0
 
 
+def brute_share(item, doc):
+    """Best chain over all words in common, each held against each (stretches of words at most two apart, chained within the bounds)."""
+    k = {1: 1, 2: 2, 3: 2}.get(len(item), 3)
+    best = {}
+    for q, word in enumerate(doc):
+        for p in [p for p, w in enumerate(item) if w == word]:
+            before = [(q - b, p - a, n, m) for (a, b, n), m in best.items() if a < p and b < q]
+            for n in range(1, k + 1):
+                if n == 1:
+                    value = 1 + max([m for dq, dp, j, m in before if j == k and dq <= leakage.GAP + 1 and abs(dq - dp) <= leakage.SHIFT], default=0)
+                if n > 1 or k == 1:
+                    near = [m for dq, dp, j, m in before if dq <= 2 and dp <= 2 and (j == n - 1 or j == n == k)]
+                    value = max([1 + m for m in near] + ([value] if n == 1 else []), default=0)
+                if value:
+                    best[p, q, n] = value
+    return max((m for (_, _, n), m in best.items() if n == k), default=0) / len(item)
+
+
+def test_leaks_with_close_changes_against_brute_force():
+    rng = random.Random(5)
+    items = [(i, text(rng, rng.choice((1, 2, 3, 4, 5, 7, 24, 40)))) for i in range(40)]
+    docs, planted = [], []
+    for n in range(160):
+        doc = text(rng, rng.choice((3, 30, 70))).split()
+        item, words = items[n % 40]
+        words, every = words.split(), 2 + n // 40 % 5
+        if len(words) >= 24:
+            words = [w if at % every else rng.choice(("zzz", "yyy xxx", "")) for at, w in enumerate(words)]
+            planted += [(n, item)] if every > 2 else []
+        elif len(words) > 2:  # short: one changed word
+            words[rng.randrange(1, len(words))] = "zzz"
+            planted += [(n, item)] if len(words) > 4 and words[2] != "zzz" else []
+        at = rng.randrange(len(doc))
+        docs.append(leakage.words_of(" ".join([*doc[:at], *words, *doc[at:]])))
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, words in items:
+            if (share := brute_share(words.split(), doc)) >= leakage.SHARE - 1e-9:
+                want[d, i] = share
+    got = {(d, i): share for d, i, share in leakage.Block(items).leaks(docs)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(planted) > 40 and set(planted) <= set(got)
+
+
 # --- mixing ---------------------------------------------------------------------
 
 

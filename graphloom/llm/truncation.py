@@ -2,10 +2,10 @@
 
 Prefix self-joins find values that stop where longer copies go on:
 
-* whole values: distinct texts are range-partitioned and sorted; a text is a
-  strict prefix of another exactly if the next text starts with it, so each is
-  held against its neighbour only (the last of a partition against the first of
-  the next). The neighbour also tells where the longer copy goes on;
+* whole values: distinct texts are range-partitioned and sorted; the longer
+  copies of a text follow it without a gap, so one pass with a stack of open
+  prefixes sees every way in which they go on (those still open at the end of a
+  partition are held against all later texts);
 * last words: the words of all texts, except each text's last, form the
   vocabulary; a last word that isn't a word but a strict prefix of words is cut.
 
@@ -19,7 +19,9 @@ the corpus (``the``), if the longer copy goes on within the line, or if the
 text has exactly a length at which its source piles up unfinished texts.
 
 Cases: null or blank texts are complete; repeated texts each count; a text whose
-last sentence is complete is no case even if longer copies exist; null sources
+last sentence is complete is no case even if longer copies exist, unless one goes
+on inside its last word or token (``3.`` and ``3.14``); code that fails to parse
+before its end (``broken``) is judged as parsing code is; null sources
 are one source; texts of any length are used whole.
 """
 
@@ -44,6 +46,10 @@ _ENDED = re.compile(r"""[.?!。！？]["'”’»)\]`*_]*$""")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+\S")
 _REFERENCE = re.compile(r"(?:[A-Z][\w-]*(?: \w+){0,2}: ?\S*(?:\d|\.\w{1,5}|/|>)|(?:Fixed|Closed|Closes|Fixes|Resolved|Since|Merged|See) (?:in |by )?[#\w/.-]*\d+|https?://\S+)$")
 _WORDS = re.compile(r"[^\W_]+")
+#: A longer copy goes on in the next line, or in one that is indented; ends of values that a letter or digit goes on as one token.
+_LINE_END, _DEEPER, _OPEN_TOKEN = re.compile(r"\s*(?:\n|$)"), re.compile(r"\s*\n+[ \t]+\S"), re.compile(r"[\w.?!/]\Z")
+#: Letters looked at where a longer copy goes on.
+AFTER = 80
 #: A last word may end a line if at least this share of its other occurrences does; judged from this many on.
 ENDER_SHARE, JUDGED_FROM = 0.02, 5
 #: A length is a limit of its source if this many unfinished texts have it, and this share of all its texts of that length.
@@ -63,7 +69,8 @@ def ending(text: str | None, lang: str | None = None, source: str | None = None)
     """Form of a text's end, its last word and the length of what follows the break.
 
     Forms: ``complete``, ``cut``, ``item`` (needs its last word judged), ``closing``
-    (a short last paragraph, the same), ``code`` (parses; the longer copy decides).
+    (a short last paragraph, the same), ``code`` (parses; the longer copy decides),
+    ``broken`` (code with an error before its end; the same).
     """
     if not text or not text.strip():
         return "complete", "", 0
@@ -81,7 +88,7 @@ def ending(text: str | None, lang: str | None = None, source: str | None = None)
         word = words[-1] if words and body.endswith(words[-1]) else ""
         if found.ok:
             return "code", word, spare
-        return ("cut" if found.at_end else "complete"), "", spare
+        return ("cut", "", spare) if found.at_end else ("broken", word, spare)
     lines = body.split("\n")
     last = re.sub(r"^(?:\s*>)+\s?", "", lines[-1]).rstrip()
     if sum(1 for x in lines if re.match(r"(?:\s*>)*\s*(?:```|~~~)", x)) % 2:
@@ -120,32 +127,56 @@ def _endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[["doc_id", "source", "h", "form", "word", "spare", "n"]]
 
 
-def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In a sorted partition: values that the next one goes on from, its first and its last value."""
-    before: tuple[int, str] | None = None
+def _ways(value: str, after: str) -> tuple[bool, bool, bool]:
+    """How a longer copy goes on: within the line, in an indented line, inside the last word or token."""
+    return not _LINE_END.match(after), bool(_DEEPER.match(after)), bool(_OPEN_TOKEN.search(value) and after[0].isalnum())
+
+
+def _goes_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In a sorted partition: each way in which a value goes on, once, and the values that the last one starts with."""
+    columns = ["h", "after", "within_line", "deeper", "in_token", "value"]
+    stack: list[tuple[int, str, set[tuple[bool, bool, bool]]]] = []
     for frame in frames:
         out = []
         for h, value in zip(frame["h"], frame["value"]):
-            if before is None:
-                out.append((h, None, "first", value))
-            elif value.startswith(before[1]) and len(value) > len(before[1]):
-                out.append((before[0], value[len(before[1]) : len(before[1]) + 80], "goes_on", None))
-            before = (h, value)
-        yield pd.DataFrame(out, columns=["h", "after", "what", "value"])
-    if before is not None:
-        yield pd.DataFrame([(before[0], None, "last", before[1])], columns=["h", "after", "what", "value"])
+            while stack and not value.startswith(stack[-1][1]):
+                stack.pop()
+            # a prefix shorter than the top by AFTER or more goes on as the top does
+            for h2, prefix, seen in reversed(stack):
+                if len(stack[-1][1]) - len(prefix) >= AFTER:
+                    break
+                after = value[len(prefix) : len(prefix) + AFTER]
+                if (way := _ways(prefix, after)) not in seen:
+                    seen.add(way)
+                    out.append((h2, after, *way, None))
+            stack.append((h, value, set()))
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame([(h, None, None, None, None, value) for h, value, _ in stack], columns=columns)
+
+
+def _goes_on_later(values: DataFrame, still_open: DataFrame) -> DataFrame:
+    """The same for values of other partitions, by a join with the few that are open at the end of one."""
+
+    def ways(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = {(h, *_ways(p, a)): a for h, p, a in zip(frame["h"], frame["prefix"], frame["after"])}
+            yield pd.DataFrame([(h, a, *way) for (h, *way), a in found.items()], columns=["h", "after", "within_line", "deeper", "in_token"])
+
+    few = small_side(still_open.select(F.col("h").alias("h2"), F.col("value").alias("prefix")))
+    joined = values.join(few, F.col("value").startswith(F.col("prefix")) & (F.length("value") > F.length("prefix")))
+    joined = joined.select(F.col("h2").alias("h"), F.expr("right(prefix, 1)").alias("prefix"), F.expr(f"substring(value, length(prefix) + 1, {AFTER})").alias("after"))
+    return joined.mapInPandas(ways, "h bigint, after string, within_line boolean, deeper boolean, in_token boolean")
 
 
 def longer_copies(values: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(h, after): for each value (columns h, value; distinct) that is a strict prefix of another, how that goes on."""
+    """(h, after, within_line, deeper, in_token): for each value (columns h, value; distinct) that is a strict prefix of others, how they go on."""
     n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = values.select("h", "value").repartitionByRange(n, "value").sortWithinPartitions("value")
-    found = cut(ordered.mapInPandas(_neighbours, "h bigint, after string, what string, value string").withColumn("part", F.spark_partition_id()))
-    # one first and one last value a partition: as many rows as partitions
-    ends = found.filter("what <> 'goes_on'").groupBy("part").agg(F.max(F.when(F.col("what") == "first", F.col("value"))).alias("first"), F.max_by("value", F.col("what") == "last").alias("last"), F.max_by("h", F.col("what") == "last").alias("h"))
-    over = ends.withColumn("next", F.lead("first").over(Window.orderBy("first")))
-    across = over.filter(F.col("next").startswith(F.col("last")) & (F.length("next") > F.length("last"))).select("h", F.expr("substring(next, length(last) + 1, 80)").alias("after"))
-    return found.filter("what = 'goes_on'").select("h", "after").unionByName(across)
+    values = values.select("h", "value")
+    ordered = values.repartitionByRange(n, "value").sortWithinPartitions("value")
+    found = cut(ordered.mapInPandas(_goes_on, "h bigint, after string, within_line boolean, deeper boolean, in_token boolean, value string"))
+    later = _goes_on_later(values, found.filter("value is not null"))
+    ways = found.filter("value is null").drop("value").unionByName(later)
+    return ways.groupBy("h").agg(F.min("after").alias("after"), *(F.max(c).alias(c) for c in ("within_line", "deeper", "in_token")))
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
@@ -179,12 +210,14 @@ def judge_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, source, n, form, truncated) of every document."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").withColumn("h", F.xxhash64("text"))
     ends = cut(spread(docs).mapInPandas(_endings, "doc_id bigint, source string, h bigint, form string, word string, spare int, n int"))
-    open_ends = ends.filter("form <> 'complete'").select("h", "spare").distinct()
-    # values: texts as they are, those that may be cut without what follows the break
-    values = docs.filter("text is not null").select("h", "text").dropDuplicates(["h"]).join(open_ends, "h", "left")
+    spares = ends.select("h", "spare").distinct()
+    # values: texts without what follows the break; texts that differ in that only share one value
+    values = docs.filter("text is not null").select("h", "text").dropDuplicates(["h"]).join(spares, "h")
     values = values.select("h", F.expr("case when spare > 0 then substring(text, 1, length(text) - spare) else text end").alias("value")).filter("value <> ''")
-    copies = longer_copies(values).groupBy("h").agg(F.min("after").alias("after"))
-    words = judged_words(ends.filter("form in ('item', 'closing', 'code')"), vocabulary(documents))
+    values = cut(values.withColumn("v", F.xxhash64("value")))
+    copies = longer_copies(values.select(F.col("v").alias("h"), "value").dropDuplicates(["h"])).withColumnRenamed("h", "v")
+    copies = values.select("h", "v").join(copies, "v").drop("v")
+    words = judged_words(ends.filter("form in ('item', 'closing', 'code', 'broken')"), vocabulary(documents))
     judged = ends.join(words, "word", "left").join(copies, "h", "left")
     piles = (
         ends.groupBy("source", "n")
@@ -193,14 +226,13 @@ def judge_documents(documents: DataFrame) -> DataFrame:
         .select(F.col("source").alias("s2"), F.col("n").alias("n2"), F.lit(True).alias("at_limit"))
     )
     judged = judged.join(small_side(piles), F.col("source").eqNullSafe(F.col("s2")) & (F.col("n") == F.col("n2")), "left")
-    within_line = F.coalesce(~F.col("after").rlike(r"^\s*(?:\n|$)"), F.lit(False))
-    within_block = F.coalesce(F.col("after").rlike(r"^\s*\n+[ \t]+\S"), F.lit(False))
+    within_line, within_block, in_token = (F.coalesce(c, F.lit(False)) for c in ("within_line", "deeper", "in_token"))
     bad_word = F.coalesce(F.col("state").isin("open", "partial"), F.lit(False))
     limit = F.coalesce("at_limit", F.lit(False))
     truncated = (
-        F.when(F.col("form") == "complete", False)
+        F.when(F.col("form") == "complete", in_token)
         .when(F.col("form") == "cut", True)
-        .when(F.col("form") == "code", within_line | within_block | F.coalesce(F.col("state") == "partial", F.lit(False)))
+        .when(F.col("form").isin("code", "broken"), within_line | within_block | F.coalesce(F.col("state") == "partial", F.lit(False)))
         .otherwise(bad_word | within_line | limit)
     )
     return judged.select("doc_id", "source", "n", "form", "word", "state", "after", limit.alias("at_limit"), truncated.alias("truncated"))

@@ -194,3 +194,30 @@ def test_documents(spark):
     rates = {r.source: (r.documents, r.truncated) for r in truncation.truncation_rates(judged).collect()}
     assert rates == {"wiki": (18, 2), None: (3, 1)}
     assert truncation.judge_documents(df.limit(0)).count() == 0
+
+
+def test_every_way_of_longer_copies(spark):
+    rng = random.Random(6)
+    values = sorted({"".join(rng.choice(["a", "b.", " ", "\n", "\n c", "1"]) for _ in range(rng.randrange(1, 7))) for _ in range(500)})
+    df = spark.createDataFrame(list(enumerate(values)), "h bigint, value string")
+    for partitions in (1, 9):
+        got = {r.h: (r.within_line, r.deeper, r.in_token) for r in truncation.longer_copies(df, partitions).collect()}
+        want = {}
+        for h, v in enumerate(values):
+            ways = [truncation._ways(v, w[len(v) :]) for w in values if w != v and w.startswith(v)]
+            if ways:
+                want[h] = tuple(any(way) for way in zip(*ways))
+        assert got == want
+
+
+def test_longer_copies_decide(spark):
+    base = ["The walker reads the page.", "We count the pages, then the walker stops."] * 4
+    broken = "def f(:\n    pass\n\ndef g(page):\n    return wal"
+    texts = [
+        *base, "It needs version 3.", "It needs version 3.14 of the page.", "Now see foo.", "Now see foo.bar() of the page.", "We stop.", "We stop. Then we read the page.",  # 8 to 13
+        "Text.\n\n- read it  ", "Text.\n\n- read it", "Text.\n\n- read it\n- stop it", "Text.\n\n- read it with the walker.",  # 14 to 17
+        "It needs version 3. ...",  # 18
+    ]
+    rows = [(i, t, "en", "wiki") for i, t in enumerate(texts)] + [(50, broken, "python", None), (51, broken + "ker(page)\n", "python", None), (52, "def f(:\n    pass\n\nx = 1\n", "python", None)]
+    judged = truncation.judge_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert {r.doc_id for r in judged.collect() if r.truncated} == {8, 10, 14, 15, 18, 50}

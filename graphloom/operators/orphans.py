@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from graphloom.session import cut, small_side
 
@@ -172,8 +173,10 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     both = cut(both.withColumn("h", F.xxhash64("kind", "key")))
     total, first, last = both.agg(F.count(F.lit(1)), F.min("period"), F.max("period")).first()
     ranges = max(1, -(-total // KEYS_PER_RANGE))
-    coded = both.withColumn("range", F.pmod("h", F.lit(ranges)).cast("int")).withColumn("code", F.expr("dense_rank() over (partition by range order by h, kind, key) - 1")).drop("h")
-    coded = cut(coded)
+    # distinct keys are ranked, so a key with many intervals is one row of its range
+    codes = both.select("h", "kind", "key").distinct().withColumn("range", F.pmod("h", F.lit(ranges)).cast("int"))
+    codes = codes.withColumn("code", F.expr("row_number() over (partition by range order by h, kind, key) - 1").cast("bigint")).drop("h")
+    coded = cut(both.drop("h").join(codes, ["kind", "key"]))
     referred = coded.filter("n is not null")
     # months that a target covers from their first to their last instant, within those that are referred to
     opens = F.when(F.col("since").isNull(), F.lit(first)).otherwise(
@@ -195,16 +198,21 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     )
     surviving = referred.select("range", "code", "kind", "key", "period").join(left, ["range", "code", "period"], "left_semi")
     surviving = surviving.unionByName(referred.filter("period is null").select(surviving.columns))
-    spans = (
-        coded.filter("n is null")
-        .groupBy("range", "code")
-        .agg(F.collect_set(F.struct(F.coalesce("since", F.lit("0001-01-01").cast("timestamp")).alias("since"), "until")).alias("spans"))
-    )
-    suspects = surviving.join(spans, ["range", "code"], "left").select("kind", "key", F.col("period").alias("p"), "spans")
+    suspects = cut(surviving.select("kind", "key", F.col("period").alias("p")))
+    # no interval covers the whole of a surviving month, so those that reach into it begin or end there: two rows an interval at most
+    since = F.coalesce("since", F.lit("0001-01-01").cast("timestamp"))
+    spans = live.select("kind", "key", since.alias("at"), F.coalesce("until", F.lit("9999-12-31").cast("timestamp")).alias("until"), F.explode(F.array_distinct(F.array(F.trunc("since", "month"), F.trunc("until", "month")))).alias("p"))
+    spans = spans.filter("p is not null").join(suspects, ["kind", "key", "p"], "left_semi")
     dated = refs.withColumn("p", period)
-    covered = F.exists("spans", lambda s: (F.col("at") >= s["since"]) & (s["until"].isNull() | (F.col("at") < s["until"])))
-    joined = dated.join(suspects.withColumnsRenamed({"kind": "k2", "key": "key2", "p": "p2"}), (F.col("kind") == F.col("k2")) & (F.col("key") == F.col("key2")) & F.col("p").eqNullSafe(F.col("p2")))
-    return joined.filter(~F.coalesce(covered, F.lit(False))).select("kind", "key", "ref_id", "at")
+    undated = dated.filter("p is null").select("kind", "key", "ref_id", "at")
+    asked = dated.join(suspects, ["kind", "key", "p"], "left_semi")
+    events = asked.select("kind", "key", "p", "at", "ref_id", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("asks")).unionByName(
+        spans.select("kind", "key", "p", "at", F.lit(None).cast("bigint").alias("ref_id"), "until", F.lit(0).alias("asks"))
+    )
+    # covered: of the intervals that have begun, the last to end ends later
+    reach = F.max("until").over(Window.partitionBy("kind", "key", "p").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = events.withColumn("reach", reach).filter("asks = 1 and (reach is null or reach <= at)")
+    return found.select("kind", "key", "ref_id", "at").unionByName(undated)
 
 
 def find_orphans(graph_edges: DataFrame, import_decls: DataFrame, func_defs: DataFrame, src_files: DataFrame, ext_modules: DataFrame) -> DataFrame:

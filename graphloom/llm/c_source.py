@@ -21,7 +21,10 @@ from graphloom.llm.python_source import Definition, Parsed, never_closed
 
 _OPS = "... <<= >>= -> ++ -- << >> <= >= == != && || += -= *= /= %= &= ^= |= ( ) [ ] { } , : ; . ? = + - * / % & | ^ ~ ! < >".split()
 _KEYWORDS = "if else while do for switch case default break continue return goto sizeof typedef struct union enum static _Generic _Static_assert static_assert asm __asm__ __asm __attribute__ __declspec _Alignas alignas typeof __typeof__ _Alignof alignof __alignof__".split()
-_TYPES = "void char short int long float double signed unsigned _Bool _Complex _Imaginary __int128 __signed__ _Float128 _Decimal64".split()
+#: Type words by class.
+_TYPES = {w: c for c, words in {"t": "void _Bool _Imaginary _Float128 _Decimal64", "c": "char", "h": "short", "i": "int", "l": "long", "g": "signed unsigned __signed__", "f": "float", "d": "double", "x": "_Complex", "I": "__int128"}.items() for w in words.split()}
+#: Type words that go together, in any order (fixed values of the language; sorted classes).
+_TYPE_SETS = frozenset("".join(sorted(x)) for x in "t c cg h gh hi ghi i g gi l gl il gil ll gll ill gill f d dl x fx dx dlx ix cx lx llx hx gx I Ig".split())
 _QUALIFIERS = "const volatile restrict extern register auto inline _Noreturn _Thread_local thread_local constexpr _Atomic __inline __inline__ __restrict __restrict__ __const __volatile__ __extension__ __thread noreturn".split()
 CLASSES: dict[str, str] = {w: (w if len(w) == 1 else chr(0xE000 + i)) for i, w in enumerate([*_KEYWORDS, *_OPS])}
 #: Symbols of reduced braces: a block, and data by what it can be (bits: struct body, enum body, initializer).
@@ -31,7 +34,7 @@ CLASSES |= {
     "NAME": "n",
     "NUMBER": "0",
     "STR": "s",
-    "TYPE": "t",
+    "TYPE": "".join(dict.fromkeys(_TYPES.values())),
     "QUAL": "q" + CLASSES["static"] + CLASSES["typedef"],
     "SU": CLASSES["struct"] + CLASSES["union"],
     "ATTR": "".join(CLASSES[w] for w in "__attribute__ __declspec _Alignas alignas".split()),
@@ -50,7 +53,9 @@ CLASSES |= {
 
 GRAMMAR = r"""
 external <- function / declaration END / ";" END / ASSERT "(" args ")" ";" END / ASM asm_rest ";" END
-function <- specs? declarator attr* BLOCK END
+function <- specs declarator attr* old_decl* BLOCK END / declarator attr* old_decl* BLOCK END
+old_function <- specs declarator old_decl+ END / declarator old_decl+ END
+old_decl <- specs declarator ("," declarator)* ";"
 declaration <- specs (init_decl ("," init_decl)*)? ";"
 specs <- qual* (TYPE (TYPE / qual)* / SU attr* (NAME? STRUCTBODY / NAME) qual* / "enum" attr* (NAME? (":" specs)? ENUMBODY / NAME) qual* / TYPEOF "(" (type_name / expr) ")" qual* / NAME qual*)
 qual <- QUAL / attr
@@ -115,16 +120,35 @@ _PIECES = Grammar(GRAMMAR, CLASSES)
 _BLOCKS = Grammar(BLOCK_GRAMMAR, {c: c for c in "fwldesW"})
 
 
+_TYPE_RUN = re.compile(f"[{re.escape(CLASSES['TYPE'] + CLASSES['QUAL'])}]+")
+_NO_TYPE = str.maketrans(dict.fromkeys(CLASSES["QUAL"], ""))
+
+
+def _types_clash(kinds: str) -> int:
+    """Place of type words that don't go together (``int int``), -1 without."""
+    for m in _TYPE_RUN.finditer(kinds):
+        words = m.group().translate(_NO_TYPE)
+        if len(words) > 1 and "".join(sorted(words)) not in _TYPE_SETS:
+            return m.end() - 1
+    return -1
+
+
 def _external(kinds: str) -> tuple[str, int]:
-    """'F' for a function definition, 's' for another external declaration, '' for neither; furthest failure."""
+    """'F' for a function definition, 's' for another external declaration, 'o' for the head of one in the old style so far, '' for none; furthest failure."""
+    if (clash := _types_clash(kinds)) >= 0:
+        return "", clash
     if kinds[-1] == BLOCK and _PIECES.match("function", kinds)[0]:
         return "F", 0
     ok, far = _PIECES.match("external", kinds)
+    if not ok and kinds[-1] == ";" and _PIECES.match("old_function", kinds)[0]:
+        return "o", 0
     return ("s", 0) if ok else ("", far)
 
 
 def _piece(kinds: str) -> tuple[str, int]:
     """Symbols of a piece of a block: its headers and the statement after them."""
+    if (clash := _types_clash(kinds)) >= 0:
+        return "", clash
     out, i = "", 0
     while i < len(kinds) and (head := HEADERS.get(kinds[i])):
         end = _PIECES.prefix(head[0], kinds, i)
@@ -162,11 +186,12 @@ _MASTER = re.compile(
     re.DOTALL,
 )
 _NUMBER = re.compile(
-    r"(?:0[xX](?:[\da-fA-F]'?)+|0[bB](?:[01]'?)+|\d(?:'?\d)*)[uUlLwWbB]*[zZ]?|(?:\d(?:'?\d)*\.\d*|\.\d+|\d(?:'?\d)*\.)(?:[eE][+-]?\d+)?[fFlLdDqQiIjJ]*\d*x?|\d(?:'?\d)*[eE][+-]?\d+[fFlLdDqQiIjJ]*"
+    r"(?:0[xX](?:[\da-fA-F]'?)+|0[bB](?:[01]'?)+|0(?:'?[0-7])*|[1-9](?:'?\d)*)(?:[uU](?:ll|LL|[lLzZ]|wb|WB)?|(?:ll|LL|[lLzZ]|wb|WB)[uU]?)?|(?:\d(?:'?\d)*\.\d*|\.\d+|\d(?:'?\d)*\.)(?:[eE][+-]?\d+)?[fFlLdDqQiIjJ]*\d*x?|\d(?:'?\d)*[eE][+-]?\d+[fFlLdDqQiIjJ]*"
     r"|0[xX](?:[\da-fA-F]*\.?[\da-fA-F]*)[pP][+-]?\d+[fFlL]*"
 )
-_FIXED = {w: CLASSES[w] for w in [*_KEYWORDS, *_OPS]} | dict.fromkeys(_TYPES, "t") | dict.fromkeys(_QUALIFIERS, "q") | {"": "\x03", "<:": "["}
-_WORD_KINDS = frozenset("nt" + CLASSES["SU"])
+_FIXED = {w: CLASSES[w] for w in [*_KEYWORDS, *_OPS]} | _TYPES | dict.fromkeys(_QUALIFIERS, "q") | {"": "\x03", "<:": "["}
+_WORD_KINDS = frozenset("n" + CLASSES["TYPE"] + CLASSES["SU"])
+_BAD_ESCAPE = re.compile(r"\\(?:x(?![\da-fA-F])|u(?![\da-fA-F]{4})|U(?![\da-fA-F]{8})|[\\\"'])")
 _BAD, _SKIP, _HASH = "\x01", "\x02", "\x04"
 _SPECIAL = frozenset("([{)]};\n" + _SKIP + _HASH)
 
@@ -179,10 +204,10 @@ def _kind(token: str) -> str:
         return _SKIP
     if c.isdigit() or (c == "." and len(token) > 1):
         return "0" if _NUMBER.fullmatch(token) else _BAD
-    if token[-1] == '"' and len(token) > 1:
-        return "s"
-    if token[-1] == "'" and len(token) > 1:
-        return "0"
+    if token[-1] in "\"'" and len(token) > 1:
+        if "\\" in token and any(m.group()[1] in "xuU" for m in _BAD_ESCAPE.finditer(token)):
+            return _BAD
+        return "s" if token[-1] == '"' else "0"
     if c == "_" or c.isalpha():
         return "n"
     return "\n" if c == "\n" else _BAD
@@ -191,11 +216,7 @@ def _kind(token: str) -> str:
 class _Tokens(Remembered):
     def __missing__(self, token: str) -> str:
         kind = _FIXED.get(token) or _kind(token)
-        if len(token) < 40 and kind not in (_SKIP, _HASH):
-            if len(self) >= self._most:
-                self.clear()
-            self[token] = kind
-        return kind
+        return self.keep(token, kind) if len(token) < 40 and kind not in (_SKIP, _HASH) else kind
 
 
 TOKENS = _Tokens(_kind)
@@ -224,60 +245,70 @@ def condition(text: str) -> bool | None:
             items.append(ord(m[4][-2]))
         else:
             items.append(m[6])
-    pos = 0
-
-    def take(*wanted: str) -> str | None:
-        nonlocal pos
-        if pos < len(items) and isinstance(items[pos], str) and items[pos] in wanted:
-            pos += 1
-            return items[pos - 1]
+    # innermost parentheses first: open ones are a list, so depth needs no stack
+    levels: list[list[int | str]] = [[]]
+    try:
+        for item in items:
+            if item == "(":
+                levels.append([])
+            elif item == ")":
+                value = _value(levels.pop())
+                levels[-1].append(value)
+            else:
+                levels[-1].append(item)
+        return bool(_value(levels[0])) if len(levels) == 1 else None
+    except (ValueError, IndexError):
         return None
 
-    def unary() -> int:
-        nonlocal pos
-        if op := take("!", "-", "+", "~"):
-            x = unary()
-            return {"!": int(not x), "-": -x, "+": x, "~": ~x}[op]
-        if take("("):
-            x = ternary()
-            if not take(")"):
+
+def _value(items: list[int | str]) -> int:
+    """Value of an expression without parentheses: signs, then binary levels, then ``? :``."""
+    out: list[int | str] = []
+    for at in range(len(items) - 1, -1, -1):
+        x = items[at]
+        if x in ("!", "~") or x in ("-", "+") and (at == 0 or isinstance(items[at - 1], str)):
+            if not out or isinstance(out[-1], str):
                 raise ValueError
-            return x
-        if pos < len(items) and isinstance(items[pos], int):
-            pos += 1
-            return items[pos - 1]
+            v = out.pop()
+            x = {"!": int(not v), "-": -v, "+": v, "~": ~v}[x]
+        elif isinstance(x, int) and out and isinstance(out[-1], int):
+            raise ValueError
+        out.append(x)
+    out.reverse()
+    for ops in reversed(_LEVELS):
+        folded: list[int | str] = []
+        at = 0
+        while at < len(out):
+            if out[at] in ops and isinstance(out[at], str):
+                if not folded or isinstance(folded[-1], str) or at + 1 >= len(out) or isinstance(out[at + 1], str):
+                    raise ValueError
+                folded.append(_binary(out[at], folded.pop(), out[at + 1]))
+                at += 2
+            else:
+                folded.append(out[at])
+                at += 1
+        out = folded
+    # what is left is v or v ? v : v ? ..., nested in any way: reduce v ? v : v from the right
+    stack: list[int | str] = []
+    for x in reversed(out):
+        stack.append(x)
+        while len(stack) >= 5 and isinstance(stack[-1], int) and stack[-2] == "?" and isinstance(stack[-3], int) and stack[-4] == ":" and isinstance(stack[-5], int):
+            test, yes, no = stack[-1], stack[-3], stack[-5]
+            del stack[-5:]
+            stack.append(yes if test else no)
+    if len(stack) != 1 or not isinstance(stack[0], int):
         raise ValueError
+    return stack[0]
 
-    def level(n: int) -> int:
-        if n == len(_LEVELS):
-            return unary()
-        x = level(n + 1)
-        while op := take(*_LEVELS[n]):
-            y = level(n + 1)
-            if op in ("/", "%"):
-                x = 0 if y == 0 else (x // y if op == "/" else x % y)
-            elif op in ("<<", ">>"):
-                x = (x << min(y, 64) if op == "<<" else x >> min(y, 64)) if y >= 0 else 0
-            else:
-                x = {"||": x or y, "&&": x and y, "|": x | y, "^": x ^ y, "&": x & y, "==": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y, "+": x + y, "-": x - y, "*": x * y}[op]
-                x = int(bool(x)) if op in ("||", "&&") else int(x)
-        return x
-
-    def ternary() -> int:
-        x = level(0)
-        if take("?"):
-            a = ternary()
-            if not take(":"):
-                raise ValueError
-            b = ternary()
-            return a if x else b
-        return x
 
-    try:
-        value = ternary()
-    except (ValueError, RecursionError):
-        return None
-    return bool(value) if pos == len(items) else None
+def _binary(op: str, x: int, y: int) -> int:
+    if op in ("/", "%"):
+        return 0 if y == 0 else (x // y if op == "/" else x % y)
+    if op in ("<<", ">>"):
+        return (x << min(y, 64) if op == "<<" else x >> min(y, 64)) if y >= 0 else 0
+    if op in ("&&", "||"):
+        return int(bool(x and y)) if op == "&&" else int(bool(x or y))
+    return int({"|": x | y, "^": x ^ y, "&": x & y, "==": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y, "+": x + y, "-": x - y, "*": x * y}[op])
 
 
 class _Frame:
@@ -304,7 +335,9 @@ def _is_block(frame: _Frame, outer: bool) -> bool:
     if frame.depth:
         return last == "("
     if outer:
-        return last == ")" or (last == "n" and len(kinds) > 1 and kinds[-2] == ")")
+        return last in (")", ";") or (last == "n" and len(kinds) > 1 and kinds[-2] == ")")
+    if not frame.block:
+        return False
     if not kinds:
         return True
     if last in (CLASSES["else"], CLASSES["do"], ":"):
@@ -354,6 +387,8 @@ def parse(text: str, definitions: bool = False) -> Parsed:
         symbols, far = (PIECES if f.block else EXTERNALS)[own]
         if not symbols:
             return f.where[far] if far < len(f.where) else index
+        if symbols == "o":  # parameters are declared up to the block
+            return -1
         if symbols == "F" and definitions:
             name = _function_name(own)
             words = [tokens[w] for k, w in zip(own, f.where) if k in _WORD_KINDS]

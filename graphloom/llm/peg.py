@@ -8,20 +8,27 @@ A grammar is text, one rule a line group::
     UPPER                a named set of classes
     END                  end of input
 
-Input is a string with one character per token, its class. ``parse`` memoizes
+Input is a string with one character per token, its class. ``match`` memoizes
 every (rule, position), keeps the furthest position at which a terminal failed,
 and needs the whole input for a match.
+
+Each expression has two matchers with the same result: a function, and a
+coroutine for inputs that are nested deeper than Python's stack. ``match`` calls
+the functions and, where the stack ends, starts anew with the coroutines, whose
+stack is a list. So nesting has no limit.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 _TOKEN = re.compile(r'\s*(?:(?P<lit>"[^"]+")|(?P<name>\w+)(?P<def>\s*<-)?|(?P<op>[*+?&!()/]))')
 _END = "\0"
 
 Matcher = Callable[["Run", int], int]
+#: Yields (matcher, position) for each part, is sent where that part ends, and returns its own end.
+DeepMatcher = Callable[["Run", int], Generator[tuple["DeepMatcher", int], int, int]]
 
 
 class Run:
@@ -59,6 +66,10 @@ class Grammar:
         self.rules: dict[str, Matcher] = {name: self._rule(name) for name in self._trees}
         for name, tree in self._trees.items():
             self._bodies[name] = self._compile(tree)
+        self._deep_bodies: dict[str, DeepMatcher] = {}
+        self._deep_rules: dict[str, DeepMatcher] = {name: self._deep_rule(name) for name in self._trees}
+        for name, tree in self._trees.items():
+            self._deep_bodies[name] = self._deep(tree)
 
     # grammar text to trees
 
@@ -214,26 +225,119 @@ class Grammar:
 
         return many
 
+    # trees to coroutines, for inputs nested deeper than the stack
+
+    def _deep_rule(self, name: str) -> DeepMatcher:
+        bodies, (first, empty) = self._deep_bodies, self._begin[name]
+
+        def rule(run: Run, i: int) -> Generator[tuple[DeepMatcher, int], int, int]:
+            if not empty and run.s[i] not in first:
+                run.far = max(run.far, i)
+                return -1
+            key = (name, i)
+            if key not in run.memo:
+                run.memo[key] = yield bodies[name], i
+            return run.memo[key]
+
+        return rule
+
+    def _deep(self, tree: tuple) -> DeepMatcher:
+        kind = tree[0]
+        if kind == "rule":
+            return self._deep_rules[tree[1]]
+        if kind in ("is", "end"):
+            terminal = self._compile(tree)
+
+            def leaf(run: Run, i: int) -> Generator[tuple[DeepMatcher, int], int, int]:
+                return terminal(run, i)
+                yield  # a coroutine as all others
+
+            return leaf
+        if kind in ("seq", "alt"):
+            parts, stop_on_match = [(self._deep(x), *self._begins(x)) for x in tree[1]], kind == "alt"
+
+            def several(run: Run, i: int) -> Generator[tuple[DeepMatcher, int], int, int]:
+                at = i
+                for part, first, empty in parts:
+                    if stop_on_match and not empty and run.s[i] not in first:
+                        continue
+                    found = yield part, at
+                    if stop_on_match and found >= 0 or not stop_on_match and found < 0:
+                        return found
+                    at = i if stop_on_match else found
+                if stop_on_match:
+                    run.far = max(run.far, i)
+                    return -1
+                return at
+
+            return several
+        part, (first, empty) = self._deep(tree[1]), self._begins(tree[1])
+        if kind == "look":
+            wanted = tree[2]
+
+            def look(run: Run, i: int) -> Generator[tuple[DeepMatcher, int], int, int]:
+                far = run.far
+                found = yield part, i
+                run.far = far
+                return i if (found >= 0) == wanted else -1
+
+            return look
+        once, least = kind == "maybe", 0 if kind == "maybe" else tree[2]
+
+        def repeated(run: Run, i: int) -> Generator[tuple[DeepMatcher, int], int, int]:
+            n = 0
+            while (run.s[i] in first or once and empty) and not (once and n):
+                j = yield part, i
+                if j < 0 or j == i:
+                    break
+                i, n = j, n + 1
+            run.far = max(run.far, i)
+            return i if n >= least else -1
+
+        return repeated
+
+    def _start(self, run: Run, rule: str, at: int) -> int:
+        try:
+            return self.rules[rule](run, at)
+        except RecursionError:
+            run.memo.clear()
+            run.far = 0
+        stack, found = [self._deep_rules[rule](run, at)], None
+        while stack:
+            try:
+                part, i = stack[-1].send(found)
+                stack.append(part(run, i))
+                found = None
+            except StopIteration as done:
+                stack.pop()
+                found = done.value
+        return found
+
     def match(self, rule: str, s: str) -> tuple[bool, int]:
         """Whether ``rule`` takes all of ``s``; the furthest position at which it failed."""
         run = Run(s)
-        end = self.rules[rule](run, 0)
+        end = self._start(run, rule, 0)
         return end == len(s), max(run.far, end)
 
     def prefix(self, rule: str, s: str, at: int = 0) -> int:
         """End of the match of ``rule`` at a position, -1 without."""
-        return self.rules[rule](Run(s), at)
+        return self._start(Run(s), rule, at)
 
 
 class Remembered(dict):
-    """Results by token classes, kept over files; starts anew when it is full, which only costs time."""
+    """Results by token classes, kept over files; starts anew when its keys hold more than so many characters, which only costs time."""
 
-    def __init__(self, make: Callable[[str], object], most: int = 200_000) -> None:
+    def __init__(self, make: Callable[[str], object], most: int = 16 << 20) -> None:
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self._held = make, most, 0
 
-    def __missing__(self, key: str) -> object:
-        if len(self) >= self._most:
+    def keep(self, key: str, value: object) -> object:
+        self._held += len(key) + 100  # and the entry itself
+        if self._held > self._most:
             self.clear()
-        value = self[key] = self._make(key)
+            self._held = len(key) + 100
+        self[key] = value
         return value
+
+    def __missing__(self, key: str) -> object:
+        return self.keep(key, self._make(key))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import keyword
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -31,7 +32,12 @@ CLASSES |= {
     "SIGN": "+-~",
     "CMP": "".join(CLASSES[w] for w in "< > == != <= >=".split()),
     "CONST": "".join(CLASSES[w] for w in ("None", "True", "False", "...")),
+    "!": "!",
+    "FSTART": "\x05",
+    "FEND": "\x06",
 }
+#: Brackets and indentations that Python's tokenizer takes at most (fixed values).
+MOST_BRACKETS, MOST_INDENTS = 200, 99
 
 LINE_GRAMMAR = r"""
 simple_line <- simple (";" simple)* ";"? END
@@ -74,7 +80,9 @@ key_or_star <- NAME "=" expr / "*" expr
 key_or_double <- NAME "=" expr / "**" expr
 slices <- slice ("," slice)* ","?
 slice <- expr? ":" expr? (":" expr?)? / named / "*" bits
-atom <- NAME / NUMBER / STR+ !BYTES / BYTES+ !STR / CONST / group / list / braces
+atom <- NAME / NUMBER / (STR / fstring)+ !BYTES / BYTES+ !STR !FSTART / CONST / group / list / braces
+fstring <- FSTART field* FEND
+field <- "{" (yield_expr / !"lambda" star_exprs) "="? ("!" NAME)? (":" field*)? "}"
 group <- "(" ")" / "(" yield_expr ")" / "(" named for_ifs ")" / "(" named ")" / "(" star_named "," (star_named ("," star_named)* ","?)? ")"
 list <- "[" "]" / "[" named for_ifs "]" / "[" star_named ("," star_named)* ","? "]"
 star_named <- "*" bits / named
@@ -146,8 +154,19 @@ _LINES = Grammar(LINE_GRAMMAR, CLASSES)
 _BLOCKS = Grammar(BLOCK_GRAMMAR, {c: c for c in "sIELWFTXYNHDKMCB@c"})
 
 
+def _too_deep(kinds: str) -> int:
+    """Place of the bracket that is one too many, 0 without."""
+    if sum(map(kinds.count, "([{")) > MOST_BRACKETS:
+        for i, depth in enumerate(accumulate((k in "([{") - (k in ")]}") for k in kinds)):
+            if depth > MOST_BRACKETS:
+                return i
+    return 0
+
+
 def _line(kinds: str) -> tuple[str, int]:
     """Symbols of a logical line, '' if it doesn't parse; the furthest failure."""
+    if deep := _too_deep(kinds):
+        return "", deep
     ok, far = _LINES.match("simple_line", kinds)
     if ok:
         return "s", 0
@@ -186,7 +205,7 @@ DEF_ENDS = Remembered(lambda s: _LINES.prefix("def_head", s))
 _STRING_BODY = r"""(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|'(?:[^\\'\n]|\\.)*'|"(?:[^\\"\n]|\\.)*")"""
 _MASTER = re.compile(
     r"[ \t\f]*(?:(\n[ \t\f]*|\#[^\n]*|\\\n|(?i:br|rb|fr|rf|[rbuf])?" + _STRING_BODY + r"|[^\W\d]\w*"
-    r"|(?:0[xX][\da-fA-F_]+|0[oObB]\w+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)\w*"
+    r"|(?:0[xX][\da-fA-F_]+|0[oObB]\w+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)(?:(?=(?:and|else|for|if|in|is|not|or)\b)|\w*)"
     r"|\*\*=?|//=?|>>=?|<<=?|\.\.\.|->|:=|[!=<>+\-*/%&|^@]=|[()\[\]{},:.;@=+\-*/%&|^~<>]|[^\s]|\Z)|\s)",
     re.DOTALL,
 )
@@ -194,7 +213,6 @@ _DIGITS = r"\d(?:_?\d)*"
 _NUMBER = re.compile(
     rf"0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:0(?:_?0)*|[1-9](?:_?\d)*)[jJ]?|{_DIGITS}[jJ]|(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][+-]?{_DIGITS}[jJ]?"
 )
-_NUMBER_WORD = re.compile(rf"(.*?)(and|else|for|if|in|is|not|or)$")
 _BAD, _SKIP, _BLANK = "\x01", "\x02", "\x03"
 _FIXED = {w: CLASSES[w] for w in _WORDS} | {"": _BLANK}
 _UNSEEN = frozenset(_SKIP + _BLANK + "\n")
@@ -211,51 +229,173 @@ def _kind(token: str) -> str:
         return "0" if _NUMBER.fullmatch(token) else _BAD
     if token[-1] in "\"'" and len(token) > 1:
         head = token[: min(token.find(q) for q in "\"'" if q in token)].lower()
+        if "f" in head:
+            end, kinds = _lex_fstring(token, 0)
+            return "s" if end == len(token) and _LINES.match("fstring", kinds)[0] else _BAD
+        plain = "r" in head or "\\" not in token or _escapes_ok(token, "b" in head)
         if "b" in head:
-            return "b" if token.isascii() else _BAD
-        return "s" if "f" not in head or _fields_ok(token) else _BAD
-    if c == "_" or c.isalpha() or token.isidentifier():
-        return "n"
-    return _BAD
+            return "b" if plain and token.isascii() else _BAD
+        return "s" if plain else _BAD
+    return "n" if token.isidentifier() else _BAD
 
 
-def _fields_ok(token: str) -> bool:
-    """Whether the replacement fields of a simple f-string token hold expressions."""
-    quote = 3 if token[-3:] in ("'''", '"""') and len(token) > 5 else 1
-    at = min(token.find(q) for q in "\"'" if q in token)
-    text, i = token[at + quote : -quote], 0
-    while i < len(text):
-        c = text[i]
-        if c in "{}" and text[i + 1 : i + 2] == c:
-            i += 2
-        elif c == "}":
+_ESCAPE = re.compile(r"\\(?:x[\da-fA-F]{2}|(?:u|U00(?:0[\da-fA-F]|10))[\da-fA-F]{4}|N\{([^{}]+)\}|(x)|([uUN])|.)", re.DOTALL)
+
+
+def _escapes_ok(text: str, of_bytes: bool = False) -> bool:
+    """Whether all escapes of a literal are whole and name a character."""
+    for m in _ESCAPE.finditer(text):
+        if m[2] or m[3] and not of_bytes:
             return False
-        elif c == "{":
-            depth, j = 1, i + 1
-            while j < len(text) and depth:
-                depth += {"{": 1, "[": 1, "(": 1, "}": -1, "]": -1, ")": -1}.get(text[j], 0)
-                j += 1
-            if depth:
-                return False
-            inner = text[i + 1 : j - 1]
-            plain = re.split(r"![rsa](?=[:}]|$)|(?<![=!<>]):(?!=)|=\s*$", re.sub(r"\([^()]*\)|\[[^\[\]]*\]", lambda m: "x" * len(m.group()), inner))[0]
-            kinds = "".join(k for k in (TOKENS[t] for t in _MASTER.findall("(" + inner[: len(plain)] + ")")) if k not in _UNSEEN)
-            if not _LINES.match("group", kinds)[0]:
+        if m[1] and not of_bytes:
+            try:
+                if len(unicodedata.lookup(m[1])) > 1:
+                    return False
+            except KeyError:
                 return False
-            i = j
+    return True
+
+
+_F_START = re.compile(r"([fF][rR]?|[rR][fF])(\"\"\"|\'\'\'|[\"\'])")
+_F_TEXT = re.compile(r"[^\\{}\n\"\']+")
+_CONVERSION, _BLANK_END = re.compile(r"[sra](?!\w)"), re.compile(r"\s*(?=\})")
+#: Formatted strings in each other, and fields in the format of a field, that Python takes at most (fixed values).
+MOST_FSTRINGS, MOST_FIELDS = 149, 3
+
+
+def _lex_fstring(text: str, at: int) -> tuple[int, str]:
+    """Where the formatted string at an offset ends (-1: it doesn't), and the classes of its fields' tokens.
+
+    Fields hold any expression, with the same quotes and further formatted
+    strings; what is open is a list, so nesting needs no stack.
+    """
+    kinds: list[str] = []
+    # open parts: [quote, raw, is a format, fields around it, start of its current text] or the open brackets of a field
+    modes: list[list] = []
+    strings, i, n = 0, at, len(text)
+    while True:
+        if not modes or isinstance(modes[-1], _Field):
+            m = _F_START.match(text, i)
+            if m:
+                strings += 1
+                if strings > MOST_FSTRINGS:
+                    return -1, ""
+                modes.append([m[2], "r" in m[1].lower(), False, 0, m.end()])
+                kinds.append("\x05")
+                i = m.end()
+                continue
+            field = modes[-1]
+            m = _MASTER.match(text, i)
+            token = m.group(1)
+            if token is None or not token:
+                if m.end() >= n:
+                    return -1, ""
+                i = m.end()
+                continue
+            start = m.start(1)
+            if token[0] in "fFrR" and start > i and _F_START.match(text, start):
+                i = start
+                continue
+            if not field and token[0] == ":":
+                kinds.append(":")
+                outer = next(x for x in reversed(modes) if not isinstance(x, _Field))
+                modes.append([outer[0], outer[1], True, outer[3] + 1, start + 1])
+                i = start + 1
+                continue
+            i = m.end()
+            if not field and token == "!":
+                m = _CONVERSION.match(text, i)
+                if not m:
+                    return -1, ""
+                kinds += ["!", "n"]
+                i = m.end()
+                continue
+            kind = TOKENS[token]
+            if kind == _BAD:
+                return -1, ""
+            if kind in _UNSEEN:
+                continue
+            if not field and token == "}":
+                modes.pop()
+                modes[-1][4] = i
+            elif token in "([{":
+                field.append(token)
+            elif token in ")]}" and (not field or field.pop() != {")": "(", "]": "[", "}": "{"}[token]):
+                return -1, ""
+            kinds.append(kind)
+            continue
+        quote, raw, is_format, fields, begun = modes[-1]
+        if m := _F_TEXT.match(text, i):
+            i = m.end()
+        if i >= n:
+            return -1, ""
+        c = text[i]
+        ends = text.startswith(quote, i)
+        if c == "\\":
+            if text[i + 1 : i + 2] in ("{", "}"):
+                i += 1
+            elif not raw and text.startswith("\\N{", i):
+                i = text.find("}", i) + 1
+                if not i:
+                    return -1, ""
+            else:
+                i += 2
+        elif c in "{}" and not is_format and text[i + 1 : i + 2] == c:
+            i += 2
+        elif c in "{}" or ends or c == "\n" and len(quote) == 1:
+            if not raw and not _escapes_ok(text[begun:i].replace("\\{", "").replace("\\}", "")):
+                return -1, ""
+            if c == "{":
+                if fields >= MOST_FIELDS:
+                    return -1, ""
+                modes.append(_Field())
+                kinds.append("{")
+                i += 1
+            elif c == "}":
+                if not is_format:
+                    return -1, ""
+                modes.pop()
+                modes.pop()
+                modes[-1][4] = i + 1
+                kinds.append("}")
+                i += 1
+            elif ends and not is_format:
+                modes.pop()
+                strings -= 1
+                kinds.append("\x06")
+                i += len(quote)
+                if not modes:
+                    return i, "".join(kinds)
+            elif is_format and not ends and text[begun - 1] == ":" and (m := _BLANK_END.match(text, i)):
+                i = m.end()
+            else:
+                return -1, ""
         else:
             i += 1
-    return True
+
+
+class _Field(list):
+    """Open brackets of a replacement field."""
+
+
+def _exact_tokens(text: str) -> tuple[list[str], list[int]]:
+    """Tokens and their offsets, with formatted strings of any content as one token each."""
+    tokens, starts, at = [], [], 0
+    while True:
+        m = _MASTER.match(text, at)
+        token, start = m.group(1) or "", m.start(1) if m.group(1) is not None else m.start()
+        end = _lex_fstring(text, start)[0] if _F_START.match(text, start) else -1
+        tokens.append(text[start:end] if end > 0 else token)
+        starts.append(start)
+        at = end if end > 0 else m.end()
+        if m.end() >= len(text) and not token:
+            return tokens, starts
 
 
 class _Tokens(Remembered):
     def __missing__(self, token: str) -> str:
         kind = _FIXED.get(token) or _kind(token)
-        if len(token) < 40 and kind != _SKIP:
-            if len(self) >= self._most:
-                self.clear()
-            self[token] = kind
-        return kind
+        return self.keep(token, kind) if len(token) < 40 and kind != _SKIP else kind
 
 
 TOKENS = _Tokens(_kind)
@@ -294,11 +434,11 @@ def never_closed(text: str, at: int) -> bool:
 
 def _place(text: str, index: int) -> tuple[int, int, bool]:
     """Line and column of the token with an index; whether nothing but blanks follows."""
-    for n, m in enumerate(_MASTER.finditer(text)):
-        if n == index:
-            at = m.start(1) if m.group(1) is not None else m.start()
-            return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), never_closed(text, at) or not text[m.end() :].strip()
-    return text.count("\n") + 1, len(text) - text.rfind("\n"), True
+    tokens, starts = _exact_tokens(text)
+    if index >= len(starts):
+        return text.count("\n") + 1, len(text) - text.rfind("\n"), True
+    at = starts[index]
+    return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), never_closed(text, at) or not text[at + len(tokens[index]) :].strip()
 
 
 def _columns(indent: str) -> tuple[int, int]:
@@ -341,8 +481,12 @@ def parse(text: str, definitions: bool = False) -> Parsed:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     tokens = _MASTER.findall(text)
-    tokens.append("\n")
     kinds = "".join(map(TOKENS.__getitem__, tokens))  # one class a token
+    if _BAD in kinds and _F_START.search(text):  # fields may hold what looks like the string's end
+        tokens = _exact_tokens(text)[0]
+        kinds = "".join(map(TOKENS.__getitem__, tokens))
+    tokens.append("\n")
+    kinds += "\n"
     levels: list[list[str]] = [[]]  # symbols of the open blocks
     starts: list[list[int]] = [[]]  # token index of each symbol
     indents = [(0, 0)]
@@ -405,6 +549,8 @@ def parse(text: str, definitions: bool = False) -> Parsed:
         width = (0, 0) if not indent else _columns(indent)
         if width != indents[-1]:
             if width[0] > indents[-1][0] and width[1] > indents[-1][1]:
+                if len(indents) > MOST_INDENTS:
+                    return failed(token_at(0), "indentation")
                 levels.append([])
                 starts.append([])
                 indents.append(width)

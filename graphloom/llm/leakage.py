@@ -3,20 +3,20 @@
 Items and documents become sequences of words: letter case, punctuation, markup,
 comment signs and line layout are gone. Then
 
-1. *SimHash windows*: every window of ``WINDOW`` words (of all words for shorter
-   items) of items and documents gets a 64-bit fingerprint over its words and
-   word pairs. A leak may hold only two fifths of an item, so windows of the
-   whole item's size would lie far outside any usable radius; windows of the
-   size of an unbroken run are used instead;
+1. *SimHash windows*: every window of ``SIZES`` words, up to what long items have,
+   of items and documents gets a 64-bit fingerprint: the weighted majority of its
+   word pairs' bits. A leak may hold only two fifths of an item and has changed
+   words, so windows of the item's own size alone lie outside any usable radius;
 2. *Multi-index Hamming*: fingerprints are cut into ``RADIUS`` + 1 blocks. Two
    fingerprints within the radius agree in at least one block, so looking up all
-   blocks finds every window pair within the radius;
-3. *Loose shingles*: changes a few words apart leave no window in reach, so all
-   ``SHINGLE`` words of an item that follow each other in steps of at most
-   ``NEAR`` are looked up among those of the documents. A pair is a candidate as
-   well if the item words in common loose shingles make up the share. What is
-   counted in 4. stands in such a shingle, so no leak is missed;
-4. *Verification*: the best alignment is found by dynamic programming over all
+   blocks finds every window pair within the radius. Items with fewer than
+   ``SHORT`` words have too few windows for changes; they are looked up by their
+   loose shingles;
+3. *Exact shingle similarity*: a loose shingle is ``SHINGLE`` words that follow
+   each other in steps of at most ``NEAR``. A candidate stays if the item words in
+   common loose shingles make up the share. What is counted in 4. stands in such
+   a shingle, so this drops no leak;
+4. *Alignment*: the best alignment is found by dynamic programming over all
    words that item and document share. A stretch is ``SHINGLE`` or more words in
    the item's order, each at most ``NEAR`` words after the one before in both
    texts (single changed, added or dropped words don't end it); stretches are
@@ -49,7 +49,12 @@ from pyspark.sql import functions as F
 
 from graphloom.session import spread
 
-WINDOW = 6
+#: Words of a window: ``max(STEPS)`` more than powers of two, up to what longer items have.
+SIZES = (5, 7, 11, 19, 35)
+#: Items with fewer words (eight windows of the least size) are looked up by their loose shingles.
+SHORT = 8 * SIZES[0]
+#: Distances of the words of a pair; the heaviest weight (96 pairs of it are still an int32).
+STEPS, _HEAVIEST = (1, 2, 3), 2.0**24
 RADIUS = 3
 #: Share of an item's words that makes a leak.
 SHARE = 0.4
@@ -60,7 +65,7 @@ SHINGLE, NEAR = 3, 2
 #: Items per broadcast block; their texts are bounded as well.
 ITEMS_PER_BLOCK, TEXT_PER_BLOCK = 20_000, 32 << 20
 _CHUNK = 24_000  # words fingerprinted at once in a task
-_HITS, _PLACES = 2_000_000, 16 << 20  # common shingles, and item words times documents, counted at once in a task (a single document may have more)
+_HITS = 2_000_000  # common shingles counted at once in a task (a single document may have more)
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&#?\w{1,8};")
 _WORD = re.compile(r"[^\W_]+")
@@ -92,23 +97,56 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` words over its words and word pairs (an odd number of features, so no ties)."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def window_sums(values: np.ndarray, width: int) -> np.ndarray:
-        bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(values) + 1, 64), dtype=np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-        return sums[width:] - sums[:-width]
 
-    total = window_sums(hashes, size)
-    if size > 1:
-        pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((hashes[1:] >> np.uint64(7)) | (hashes[1:] << np.uint64(57)))
-        total = total + window_sums(pairs, size - 1)
-    return np.packbits(total * 2 > 2 * size - 1, axis=1).view(np.uint64).ravel()
+def word_pairs(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Feature of each word and the one ``step`` words later, in this order."""
+    a, b = hashes[:-step], hashes[step:]
+    return _mixed(a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(1)) | (b >> np.uint64(63))))
+
+
+class Weights:
+    """Weight of a feature: the rarer among the items the heavier, times a factor with a long tail that depends on the feature alone.
+
+    In nearly every window one feature outweighs most of the others, so that the
+    fingerprint follows it: words that change elsewhere in the window turn over
+    few bits, which the radius allows for. With equal weights one changed word
+    of six turns over 14 of 64 bits in the median.
+    """
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        own = [np.unique(np.concatenate([word_pairs(h, s) for s in STEPS])) for h in items if len(h) > max(STEPS)]
+        self.features, self.counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.int64))
+
+    def of(self, features: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        often = np.where(self.features[at] == features, self.counts[at], 1)
+        tail = ((_mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)) + np.uint64(1)).astype(np.float64) / 2.0**53
+        return np.minimum(_HEAVIEST, np.ceil(64.0 / (tail * often))).astype(np.int32)
+
+
+def fingerprints(hashes: np.ndarray, weights: Weights) -> dict[int, np.ndarray]:
+    """SimHash of every window of each size: the weighted majority of its word pairs' bits. A window's words say all about it."""
+    out: dict[int, np.ndarray] = {}
+    n = len(hashes) - max(STEPS)
+    if n < 1:
+        return {size: np.zeros(0, dtype=np.uint64) for size in SIZES}
+    sums = np.zeros((n, 64), dtype=np.int32)
+    for step in STEPS:
+        features = word_pairs(hashes, step)[:n]
+        signs = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
+        sums += signs * weights.of(features)[:, None]
+    width = 1  # pairs that begin at so many places are in a row of sums
+    for size in SIZES:
+        while width < size - max(STEPS):
+            sums = sums[:-width] + sums[width:]
+            width *= 2
+        out[size] = np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+    return out
 
 
 class HammingIndex:
@@ -117,8 +155,8 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
         self.prints, self.radius = prints, radius
         blocks = radius + 1
-        width = 64 // blocks
-        self.shifts = [np.uint64(b * width) for b in range(blocks)]
+        self.shifts = [np.uint64(b * (64 // blocks)) for b in range(blocks)]
+        width = min(16, 64 // blocks)  # of a wider block the first bits are looked up
         self.mask = np.uint64((1 << width) - 1)
         self.tables = []
         for shift in self.shifts:
@@ -182,22 +220,19 @@ def loose_shingles(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ShingleIndex:
-    """Loose shingles of items that have the same least stretch."""
+    """Loose shingles of items that have the same least stretch, with the item words in each."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], k: int) -> None:
-        self.k, self.owners = k, np.array([i for i, _ in items])
-        lengths = np.array([len(h) for _, h in items])
-        self.starts = np.cumsum(lengths) - lengths
-        self.words = int(lengths.sum())
-        self.need = np.ceil(SHARE * lengths - 1e-9)
+        self.k = k
         found = [loose_shingles(h, k) for _, h in items]
         keys = np.concatenate([key for key, _ in found])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.places = np.concatenate([(at + start).astype(np.int32) for (_, at), start in zip(found, self.starts)])[order]
+        self.places = np.concatenate([at for _, at in found]).astype(np.int32)[order]
+        self.owners = np.repeat([i for i, _ in items], [len(key) for key, _ in found])[order]
 
-    def search(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(document, item) if the item words in common loose shingles make up the share; owner: the document of each word, ascending."""
+    def common(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document, row of the index) of shingles that both hold, whole documents at a time; owner: the document of each word, ascending."""
         keys, at = loose_shingles(hashes, self.k)
         docs = owner[at[:, 0]]
         inside = docs == owner[at[:, -1]]
@@ -214,23 +249,35 @@ class ShingleIndex:
         total = np.cumsum(count)
         first = 0
         while first < len(docs):
-            # whole documents, up to so many hits and places
             last = int(np.searchsorted(total, (total[first - 1] if first else 0) + _HITS, "right"))
-            last = min(last, int(np.searchsorted(docs, docs[first] + max(1, _PLACES // self.words), "left")))
             if last < len(docs):
                 last = int(np.searchsorted(docs, docs[last], "left"))
             if last <= first:
                 last = int(np.searchsorted(docs, docs[first], "right"))
             b, c = begin[first:last], count[first:last]
-            found = np.repeat(b, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            row = np.repeat(docs[first:last] - docs[first], c)
-            seen = np.zeros((int(docs[last - 1] - docs[first]) + 1, self.words), dtype=bool)
-            for column in self.places.T:
-                seen[row, column[found]] = True
-            d, i = np.nonzero(np.add.reduceat(seen, self.starts, axis=1, dtype=np.int32) >= self.need)
-            yield from zip((d + docs[first]).tolist(), self.owners[i].tolist())
+            yield np.repeat(docs[first:last], c), np.repeat(b, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             first = last
 
+    def similar(self, pairs: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Those of the pairs (document times the number of items, plus item; ascending) whose common loose shingles hold the share of the item's words."""
+        good = [np.zeros(0, dtype=np.int64)]
+        for docs, rows in self.common(hashes, owner):
+            pair = docs * len(lengths) + self.owners[rows]
+            lo, hi = np.searchsorted(pairs, [docs[0] * len(lengths), (docs[-1] + 1) * len(lengths)])
+            asked = pairs[lo:hi]
+            if not len(asked):
+                continue
+            at = np.minimum(np.searchsorted(asked, pair), len(asked) - 1)
+            wanted = asked[at] == pair
+            at, rows = at[wanted], rows[wanted]
+            size = lengths[asked % len(lengths)]
+            starts = np.cumsum(size) - size
+            seen = np.zeros(int(size.sum()), dtype=bool)  # words of the items of all pairs, one after the other
+            for column in self.places[rows].T:
+                seen[starts[at] + column] = True
+            good.append(asked[np.add.reduceat(seen, starts, dtype=np.int64) >= np.ceil(SHARE * size - 1e-9)])
+        return np.concatenate(good)
+
 
 class Item:
     """An item's words, aligned with documents."""
@@ -281,45 +328,56 @@ class Item:
 
 
 class Block:
-    """Index of a block of items, by window size."""
-
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.ids: list[int] = []
-        self.items: list[Item] = []
-        prints: dict[int, list[np.ndarray]] = defaultdict(list)
-        owners: dict[int, list[np.ndarray]] = defaultdict(list)
+    """Indexes of a block of items: fingerprints of its windows by size, and loose shingles."""
+
+    def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS) -> None:
+        read = [(item_id, words) for item_id, text in rows if (words := words_of(text))]
+        self.ids = [item_id for item_id, _ in read]
+        self.items = [Item(words) for _, words in read]
+        hashes = [hashes_of(words) for _, words in read]
+        self.weights = Weights(hashes)
+        prints = [fingerprints(h, self.weights) for h in hashes]
+        self.indexes: dict[int, tuple[HammingIndex, np.ndarray]] = {}
+        for size in SIZES:
+            own = [p[size] for p in prints]
+            if any(map(len, own)):
+                self.indexes[size] = HammingIndex(np.concatenate(own), radius), np.repeat(np.arange(len(own)), [len(p) for p in own])
+        self.lengths = np.array([len(h) for h in hashes], dtype=np.int64)
         loose: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in rows:
-            if not (words := words_of(text)):
-                continue
-            size = min(WINDOW, len(words))
-            found = fingerprints(hashes_of(words), size)
-            prints[size].append(found)
-            owners[size].append(np.full(len(found), len(self.items)))
-            loose[stretch_of(len(words))].append((len(self.items), hashes_of(words)))
-            self.ids.append(item_id)
-            self.items.append(Item(words))
-        self.indexes = {size: (HammingIndex(np.concatenate(p)), np.concatenate(owners[size])) for size, p in prints.items()}
+        for n, h in enumerate(hashes):
+            loose[stretch_of(len(h))].append((n, h))
         self.shingles = [ShingleIndex(found, k) for k, found in loose.items()]
 
+    def near(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Pairs (document times the number of items, plus item; ascending) with fingerprints of some size within the radius; owner: the document of each word, ascending."""
+        found = [np.zeros(0, dtype=np.int64)]
+        prints = fingerprints(hashes, self.weights)
+        for size, (index, items) in self.indexes.items():
+            inside = np.flatnonzero(owner[: len(prints[size])] == owner[size - 1 :][: len(prints[size])])
+            a, b = index.search(prints[size][inside])
+            found.append(np.unique(owner[inside[a]] * len(self.items) + items[b]))
+        return np.unique(np.concatenate(found))
+
+    def near_short(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The same for items that have too few words for windows with changes: they share a loose shingle."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for index in self.shingles:
+            if (self.lengths[index.owners] < SHORT).any():
+                for docs, rows in index.common(hashes, owner):
+                    short = self.lengths[index.owners[rows]] < SHORT
+                    found.append(np.unique(docs[short] * len(self.items) + index.owners[rows[short]]))
+        return np.unique(np.concatenate(found))
+
     def leaks(self, documents: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(position of the document, item id, share) of each leak."""
-        lengths = np.array([len(d) for d in documents])
-        hashes = np.concatenate([hashes_of(d) for d in documents]) if len(documents) else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(documents)), lengths)
-        pairs: set[int] = set()
-        many = max(1, len(self.items))
-        for size, (index, items) in self.indexes.items():
-            found = fingerprints(hashes, size)
-            if not len(found):
-                continue
-            inside = np.flatnonzero(owner[: len(found)] == owner[size - 1 : size - 1 + len(found)])
-            a, b = index.search(found[inside])
-            pairs.update(np.unique(owner[inside[a]] * many + items[b]).tolist())
-        for shingles in self.shingles:
-            pairs.update(d * many + i for d, i in shingles.search(hashes, owner))
-        for pair in sorted(pairs):
-            d, i = divmod(pair, many)
+        if not self.items or not documents:
+            return
+        hashes = np.concatenate([hashes_of(d) for d in documents])
+        owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        near = np.union1d(self.near(hashes, owner), self.near_short(hashes, owner))
+        pairs = np.concatenate([index.similar(near, self.lengths, hashes, owner) for index in self.shingles])
+        for pair in np.sort(pairs).tolist():
+            d, i = divmod(pair, len(self.items))
             share = self.items[i].share_in(documents[d])
             if share >= SHARE - 1e-9:
                 yield d, self.ids[i], share

@@ -29,10 +29,47 @@ def test_multi_index_finds_all_within_the_radius():
 
 def test_windows_are_the_same_in_any_place():
     rng = random.Random(1)
-    words = leakage.words_of(text(rng, 40))
-    all_of = leakage.fingerprints(leakage.hashes_of(words), 6)
-    assert (all_of[10:15] == leakage.fingerprints(leakage.hashes_of(words[10:20]), 6)).all()
-    assert len(leakage.fingerprints(leakage.hashes_of(words[:4]), 6)) == 0
+    hashes = leakage.hashes_of(leakage.words_of(text(rng, 60)))
+    weights = leakage.Weights([hashes])
+    all_of, part = leakage.fingerprints(hashes, weights), leakage.fingerprints(hashes[10:50], weights)
+    for size in leakage.SIZES:
+        assert len(all_of[size]) == 61 - size and (all_of[size][10 : 51 - size] == part[size]).all()
+    assert all(len(p) == 0 for p in leakage.fingerprints(hashes[:3], weights).values())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_fingerprints(sf):
+    """Of changed items and parts that hold the share by brute force, fingerprints within the radius find nine tenths and more; equal ones find fewer."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    items = [(r["item_id"], r["item_text"]) for r in pq.read_table(f"/root/testdata/{sf}/eval_items.parquet").to_pylist()]
+    docs = [leakage.words_of(r["text"]) for r in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).to_pylist()]
+    docs = [d for d in docs if len(d) > 20]
+    other = [w for d in docs for w in d]
+    blocks = [leakage.Block(items, radius) for radius in (0, leakage.RADIUS)]
+    whole, found, cases = blocks[1], {}, {}
+    for every in (4, 5, 6, 7, None):
+        for n, item in enumerate(whole.items):
+            words = list(item.words)
+            if every is None or n % 2:  # two fifths of it, or half with changes
+                length = -(-len(words) * (2 if every is None else 3) // 5) + 1
+                start = rng.randrange(len(words) - length + 1)
+                words = words[start : start + length]
+            if every:
+                words = [rng.choice(other) if (at + n) % every == 0 else w for at, w in enumerate(words)]
+            doc = rng.choice(docs)
+            at = rng.randrange(len(doc))
+            doc = doc[:at] + words + doc[at:]
+            if item.share_in(doc) < leakage.SHARE:
+                continue
+            cases[every] = cases.get(every, 0) + 1
+            hashes, owner = leakage.hashes_of(doc), np.zeros(len(doc), dtype=np.int64)
+            for b in blocks:
+                found[b, every] = found.get((b, every), 0) + (n in b.near(hashes, owner).tolist())
+    for every, many in cases.items():
+        assert many > 30 and found[whole, every] >= 0.95 * many, every
+    assert sum(found[blocks[0], e] for e in cases) < sum(found[whole, e] for e in cases)
 
 
 def test_leaks(spark):

@@ -3,18 +3,21 @@
 References and targets become rows of (kind, key): a function's or an import's
 uid without case and padding, or a file's name within its repository. Then
 
-1. keys are dictionary-encoded: every key falls into a hash range, and gets its
-   rank within the range as an integer. References are counted by (key, period)
-   and targets made distinct before that, so a key that a third of all rows
-   name is a few rows here;
-2. per range, block of 32,768 keys and period (month) two bitmaps are built:
-   the keys that are referred to, and the keys with a target that is live from
-   the first to the last instant of the period;
-3. referred AND NOT live leaves the keys with a possible orphan in the period;
-   the surviving bits are decoded to keys;
-4. the references of these keys and periods are held against the exact live
-   intervals of their targets. A key without target has none, so all its
-   references are orphans.
+1. references and live intervals are aggregated by (key, month) first, map-side:
+   a key that a third of all rows name is one row a month from here on. Months
+   in which nothing of a key lies have no row, however far apart its dates are;
+2. keys are dictionary-encoded: every key falls into a hash range, and gets its
+   rank within the range as an integer;
+3. per range, block of 32,768 keys and month two bitmaps are built: the keys that
+   are referred to, and those with a target that is live from the first to the
+   last instant of the month (an interval begun before it ends after it);
+4. referred AND NOT live leaves the keys with a possible orphan in the month; the
+   surviving bits are decoded to keys;
+5. the references of these keys and months are held against the intervals that
+   begin or end in the month: the first that goes on after it and the last that
+   comes from before it decide; those within the month are sorted with the
+   references by day. A key without target has none, so all its references are
+   orphans.
 
 Bitmaps are packed in containers: sorted 16-bit positions while that is
 shorter, else the 4 KiB bitmap.
@@ -32,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from graphloom.session import cut, small_side
 
@@ -155,56 +159,66 @@ def _and_not(referred: pd.Series, live: pd.Series) -> pd.Series:
     return pd.Series([np.flatnonzero(unpack(r) & ~unpack(x)).astype("int32") for r, x in zip(referred, live)])
 
 
-def _block_bitmaps(rows: DataFrame, name: str) -> DataFrame:
-    """Containers per (range, block, period) of rows with a key's integer in ``code``."""
-    keyed = rows.select("range", F.floor(F.col("code") / _BLOCK).cast("int").alias("block"), "period", (F.col("code") % _BLOCK).cast("bigint").alias("bit"))
-    return keyed.groupBy("range", "block", "period").agg(F.bitmap_construct_agg("bit").alias("b")).select("range", "block", "period", _pack_bitmap("b").alias(name))
+_EVER, _NEVER = "0001-01-01", "9999-12-01"
+
+
+def _months_of(refs: DataFrame, live: DataFrame) -> DataFrame:
+    """(kind, key, month, n, closes, from, to): one row per key and month in which a reference or an interval of it lies, aggregated map-side.
+
+    n: references of the month; closes: last whole month of the intervals that
+    begin in it; from: the first instant from which one covers the rest of the
+    month; to: the last up to which one covers it from its start. Intervals that
+    begin and end in the same month are left out.
+    """
+    begins, ends = F.coalesce(F.trunc("since", "month"), F.lit(_EVER).cast("date")), F.trunc("until", "month")
+    live = live.withColumn("m1", begins).withColumn("m2", ends).filter("m2 is null or m1 < m2")
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    begun = live.select("kind", "key", F.col("m1").alias("month"), F.lit(0).alias("n"), F.coalesce(F.add_months("m2", -1), F.lit(_NEVER).cast("date")).alias("closes"), F.coalesce("since", F.lit(_EVER).cast("timestamp")).alias("from"), none("timestamp", "to"))
+    ended = live.filter("m2 is not null").select("kind", "key", F.col("m2").alias("month"), F.lit(0).alias("n"), none("date", "closes"), none("timestamp", "from"), F.col("until").alias("to"))
+    asked = refs.select("kind", "key", F.trunc("at", "month").alias("month"), F.lit(1).alias("n"), none("date", "closes"), none("timestamp", "from"), none("timestamp", "to"))
+    rows = asked.unionByName(begun).unionByName(ended).groupBy("kind", "key", "month")
+    return rows.agg(F.sum("n").alias("n"), F.max("closes").alias("closes"), F.min("from").alias("from"), F.max("to").alias("to"))
+
+
+def _coded(months: DataFrame) -> DataFrame:
+    """``months`` with the key's hash range, its integer in it, and the last whole month that intervals begun before the row's month cover."""
+    months = cut(months.withColumn("h", F.xxhash64("kind", "key")))
+    ranges = max(1, -(-months.count() // KEYS_PER_RANGE))
+    by_key = Window.partitionBy("range").orderBy("h", "kind", "key")
+    before = Window.partitionBy("range", "h", "kind", "key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("range", F.pmod("h", F.lit(ranges)).cast("int")).withColumn("reach", F.max("closes").over(before))
+    return cut(months.withColumn("code", (F.dense_rank().over(by_key) - 1).cast("bigint")).drop("h", "closes"))
+
+
+def _and_not_live(asked: DataFrame) -> DataFrame:
+    """(range, code, month) of the bits that survive referred AND NOT live, by containers per range, block and month."""
+    bit = (F.col("code") % _BLOCK).cast("bigint")
+    keyed = asked.filter("month is not null").select("range", F.floor(F.col("code") / _BLOCK).cast("int").alias("block"), "month", bit.alias("bit"), (F.col("reach") >= F.col("month")).alias("live"))
+    blocks = keyed.groupBy("range", "block", "month").agg(F.bitmap_construct_agg("bit").alias("referred"), F.expr("bitmap_construct_agg(bit) filter (where live)").alias("live"))
+    bits = blocks.select("range", "block", "month", F.explode(_and_not(_pack_bitmap("referred"), _pack_bitmap("live"))).alias("bit"))
+    return bits.select("range", (F.col("block").cast("bigint") * _BLOCK + F.col("bit")).alias("code"), "month")
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """(kind, key, ref_id, at): references without a target that is live at their time."""
-    period = F.trunc("at", "month")
-    counted = refs.groupBy("kind", "key", period.alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    live = targets.filter("until is null or since is null or until > since").select("kind", "key", "since", "until").distinct()
-    both = counted.select("kind", "key", "period", "n", F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("until")).unionByName(
-        live.select("kind", "key", F.lit(None).cast("date").alias("period"), F.lit(None).cast("bigint").alias("n"), "since", "until")
-    )
-    both = cut(both.withColumn("h", F.xxhash64("kind", "key")))
-    total, first, last = both.agg(F.count(F.lit(1)), F.min("period"), F.max("period")).first()
-    ranges = max(1, -(-total // KEYS_PER_RANGE))
-    coded = both.withColumn("range", F.pmod("h", F.lit(ranges)).cast("int")).withColumn("code", F.expr("dense_rank() over (partition by range order by h, kind, key) - 1")).drop("h")
-    coded = cut(coded)
-    referred = coded.filter("n is not null")
-    # months that a target covers from their first to their last instant, within those that are referred to
-    opens = F.when(F.col("since").isNull(), F.lit(first)).otherwise(
-        F.when(F.col("since") == F.date_trunc("month", "since"), F.to_date("since")).otherwise(F.add_months(F.trunc("since", "month"), 1))
-    )
-    closes = F.when(F.col("until").isNull(), F.lit(last)).otherwise(F.add_months(F.trunc("until", "month"), -1))
-    covering = (
-        coded.filter("n is null")
-        .select("range", "code", F.greatest(opens, F.lit(first).cast("date")).alias("a"), F.least(closes, F.lit(last).cast("date")).alias("b"))
-        .filter("a <= b")
-        .select("range", "code", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("period"))
-    )
-    keys = ["range", "block", "period"]
-    left = (
-        _block_bitmaps(referred.filter("period is not null"), "referred")
-        .join(_block_bitmaps(covering, "live"), keys, "left")
-        .select(*keys, F.explode(_and_not("referred", "live")).alias("bit"))
-        .select("range", "period", (F.col("block").cast("bigint") * _BLOCK + F.col("bit")).alias("code"))
-    )
-    surviving = referred.select("range", "code", "kind", "key", "period").join(left, ["range", "code", "period"], "left_semi")
-    surviving = surviving.unionByName(referred.filter("period is null").select(surviving.columns))
-    spans = (
-        coded.filter("n is null")
-        .groupBy("range", "code")
-        .agg(F.collect_set(F.struct(F.coalesce("since", F.lit("0001-01-01").cast("timestamp")).alias("since"), "until")).alias("spans"))
+    live = targets.filter("until is null or since is null or until > since").select("kind", "key", "since", "until")
+    asked = _coded(_months_of(refs, live)).filter("n > 0")
+    surviving = asked.join(_and_not_live(asked), ["range", "code", "month"], "left_semi").unionByName(asked.filter("month is null"), allowMissingColumns=True)
+    suspects = surviving.select(F.col("kind").alias("k2"), F.col("key").alias("key2"), F.col("month").alias("m2"), "from", "to")
+    dated = refs.select("kind", "key", "ref_id", "at", F.trunc("at", "month").alias("month"))
+    left = dated.join(suspects, (F.col("kind") == F.col("k2")) & (F.col("key") == F.col("key2")) & F.col("month").eqNullSafe(F.col("m2")))
+    left = left.filter(~F.coalesce(F.col("at") >= F.col("from"), F.lit(False)) & ~F.coalesce(F.col("at") < F.col("to"), F.lit(False)))
+    left = cut(left.select("kind", "key", "ref_id", "at", F.to_date("at").alias("day")))
+    # intervals within one month, by day: of those that have begun, the last to end ends after the reference
+    short = live.filter("trunc(since, 'month') = trunc(until, 'month')").select("kind", "key", "since", "until", F.explode(F.sequence(F.to_date("since"), F.to_date("until"))).alias("day")).distinct()
+    days = short.select("kind", "key", "day").distinct()
+    there = left.join(days.withColumn("short", F.lit(True)), ["kind", "key", "day"], "left")
+    events = there.filter("short").select("kind", "key", "day", "at", "ref_id", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("asks")).unionByName(
+        short.select("kind", "key", "day", F.col("since").alias("at"), F.lit(None).cast("bigint").alias("ref_id"), "until", F.lit(0).alias("asks"))
     )
-    suspects = surviving.join(spans, ["range", "code"], "left").select("kind", "key", F.col("period").alias("p"), "spans")
-    dated = refs.withColumn("p", period)
-    covered = F.exists("spans", lambda s: (F.col("at") >= s["since"]) & (s["until"].isNull() | (F.col("at") < s["until"])))
-    joined = dated.join(suspects.withColumnsRenamed({"kind": "k2", "key": "key2", "p": "p2"}), (F.col("kind") == F.col("k2")) & (F.col("key") == F.col("key2")) & F.col("p").eqNullSafe(F.col("p2")))
-    return joined.filter(~F.coalesce(covered, F.lit(False))).select("kind", "key", "ref_id", "at")
+    reach = F.max("until").over(Window.partitionBy("kind", "key", "day").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    uncovered = events.withColumn("last", reach).filter("asks = 1 and (last is null or last <= at)")
+    return there.filter("short is null").select("kind", "key", "ref_id", "at").unionByName(uncovered.select("kind", "key", "ref_id", "at"))
 
 
 def find_orphans(graph_edges: DataFrame, import_decls: DataFrame, func_defs: DataFrame, src_files: DataFrame, ext_modules: DataFrame) -> DataFrame:

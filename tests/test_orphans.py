@@ -58,3 +58,26 @@ def test_modules(spark):
     ext = spark.createDataFrame([("ext",)], "root_name string")
     got = {(r.kind, r.ref_id) for r in O.find_orphans(e, i, fn, f, ext).collect()}
     assert got == {("containsImport", 2), ("callsFunction", 4), ("module", 6), ("module", 9), ("module", 11)}
+
+
+def test_hot_key_without_arrays(spark):
+    start, step = dt.datetime(2024, 1, 1), dt.timedelta(minutes=37)
+    refs = [("k", "hot", i, start + i * step) for i in range(4000)] + [("k", "cold", 9000, start), ("k", "hot", 9001, None)]
+    spans = [("k", "hot", start + i * 2 * step, start + (i * 2 + 1) * step) for i in range(1900)] + [("k", "hot", start + 3900 * step, None), ("k", "hot", None, start + 3 * step)]
+    r = spark.createDataFrame(refs, "kind string, key string, ref_id bigint, at timestamp")
+    t = spark.createDataFrame(spans, "kind string, key string, since timestamp, until timestamp")
+    found = O.orphan_references(r, t)
+    want = {i for _, k, i, at in refs if at is None or not any(k == k2 and (a is None or a <= at) and (z is None or at < z) for _, k2, a, z in spans)}
+    assert {x.ref_id for x in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_far_dates_cost_nothing(spark):
+    refs = [("k", f"t{i}", i, day(i % 4000)) for i in range(3000)] + [("k", "t5", 9001, dt.datetime(9999, 12, 30)), ("k", "t6", 9002, dt.datetime(1900, 1, 1)), ("k", "no", 9003, dt.datetime(9999, 12, 31)), ("k", "ever", 9004, dt.datetime(9999, 12, 31)), ("k", "ever", 9005, dt.datetime(1, 1, 2))]
+    spans = [("k", f"t{i}", day(0), None if i % 2 else day(2000)) for i in range(3000)] + [("k", "ever", None, None)]
+    r = spark.createDataFrame(refs, "kind string, key string, ref_id bigint, at timestamp")
+    t = spark.createDataFrame(spans, "kind string, key string, since timestamp, until timestamp")
+    assert {(x.kind, x.ref_id) for x in O.orphan_references(r, t).collect()} == brute(refs, spans)
+    months = O._months_of(r, t.select("kind", "key", "since", "until"))
+    assert months.count() <= len(refs) + 2 * len(spans)

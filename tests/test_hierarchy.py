@@ -36,25 +36,30 @@ def test_against_walks(spark):
     for u in parent:
         path, loop = walk(parent, u)
         if loop is None:
-            assert (rows[u].state, rows[u].root, rows[u].depth) == ("rooted", path[0], len(path) - 1)
+            assert rows[u].state == "rooted" and (boxes[u].root, boxes[u].depth) == (path[0], len(path) - 1)
             assert paths[u] == path
             for a in path[:-1]:
                 below[a].add(u)
         else:
-            assert rows[u].state == ("on_cycle" if loop == u else "below_cycle") and rows[u].depth == -1 and rows[u].root is None
+            assert rows[u].state == ("on_cycle" if loop == u else "below_cycle") and u not in boxes
     asked = [u for u in paths if below[u]][:5]
     found = {}
     for r in H.descendants_of(heavy, spark.createDataFrame([(u,) for u in asked], "node string")).collect():
         found.setdefault(r.node, set()).add(r.descendant)
     assert found == {u: below[u] for u in asked}
     assert all(boxes[u].size == len(below[u]) + 1 for u in boxes)
+    for u in boxes:  # preorder: the descendants are an interval of their root
+        assert {v for v in boxes if boxes[v].root == boxes[u].root and boxes[u].pos < boxes[v].pos < boxes[u].pos + boxes[u].size} == below[u]
+    assert all(len(b.above) <= 10 for b in boxes.values())
 
 
-def test_long_chain_and_hot_parent(spark):
+def test_long_chain_and_hot_parent(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHILDREN_AT_ONCE", 20)
     links = [(f"c{i:03d}", f"c{i - 1:03d}" if i else None) for i in range(130)] + [(f"leaf{i}", "c064") for i in range(300)]
     heavy = H.cut(H.heavy_paths(H.separate_cycles(spark.createDataFrame(links, "node string, parent string"))))
     rows = {r.node: r for r in heavy.collect()}
-    assert rows["c129"].depth == 129 and rows["c000"].size == 430 and len({r.pos for r in rows.values()}) == 430
+    assert rows["c129"].depth == 129 and rows["c000"].size == 430 and sorted(r.pos for r in rows.values()) == list(range(430))
+    assert all(r.root == "c000" for r in rows.values()) and rows["leaf7"].depth == 65
 
 
 def test_classes(spark):

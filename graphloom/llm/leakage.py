@@ -109,6 +109,20 @@ def word_pairs(hashes: np.ndarray, step: int) -> np.ndarray:
     return _mixed(a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(1)) | (b >> np.uint64(63))))
 
 
+class _Known:
+    """Sorted keys with a table of their low bits, which most strange keys fail."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = np.uint64((1 << max(16, int(32 * len(keys)).bit_length())) - 1)
+        self.there = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.there[(keys & self.mask).astype(np.int64)] = True
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be among the known."""
+        return self.there[(keys & self.mask).astype(np.int64)]
+
+
 class Weights:
     """Weight of a feature: the rarer among the items the heavier, times a factor with a long tail that depends on the feature alone.
 
@@ -120,11 +134,14 @@ class Weights:
 
     def __init__(self, items: list[np.ndarray]) -> None:
         own = [np.unique(np.concatenate([word_pairs(h, s) for s in STEPS])) for h in items if len(h) > max(STEPS)]
-        self.features, self.counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.int64))
+        features, self.counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.int64))
+        self.known = _Known(features)
 
     def of(self, features: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
-        often = np.where(self.features[at] == features, self.counts[at], 1)
+        often = np.ones(len(features), dtype=np.int64)
+        maybe = np.flatnonzero(self.known.maybe(features))
+        at = np.minimum(np.searchsorted(self.known.keys, features[maybe]), len(self.counts) - 1)
+        often[maybe] = np.where(self.known.keys[at] == features[maybe], self.counts[at], 1)
         tail = ((_mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)) + np.uint64(1)).astype(np.float64) / 2.0**53
         return np.minimum(_HEAVIEST, np.ceil(64.0 / (tail * often))).astype(np.int32)
 
@@ -228,12 +245,15 @@ class ShingleIndex:
         keys = np.concatenate([key for key, _ in found])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
+        self.known = _Known(self.keys)
         self.places = np.concatenate([at for _, at in found]).astype(np.int32)[order]
         self.owners = np.repeat([i for i, _ in items], [len(key) for key, _ in found])[order]
 
     def common(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(document, row of the index) of shingles that both hold, whole documents at a time; owner: the document of each word, ascending."""
         keys, at = loose_shingles(hashes, self.k)
+        maybe = np.flatnonzero(self.known.maybe(keys))
+        keys, at = keys[maybe], at[maybe]
         docs = owner[at[:, 0]]
         inside = docs == owner[at[:, -1]]
         keys, docs = keys[inside], docs[inside]

@@ -28,23 +28,26 @@ from graphloom.session import spread
 _WORD = re.compile(r"[A-Z]+(?![a-zäöüß])|[A-ZÄÖÜ]?[a-zäöüß]+|\d+|[^\W\d_a-zA-Z]+")
 #: Remarks that stand in for documentation (fixed values).
 STAND_INS = re.compile(
-    r"\b(?:(?:to\s?do|fix\s?me|xxx|hack|tbd|tba|wip)\b(?:\([^)]*\))?[^\n]*(?:\n(?![ \t]*\n)[^\n]*)*"
+    r"\b(?:(?:to\s?do|fix\s?me|xxx|hack(?=\s*(?:[(:!.]|$))|tbd|tba|wip)\b(?:\([^)]*\))?[^\n]*(?:\n(?![ \t]*\n)[^\n]*)*"
     r"|no\s+(?:doc\w*|description|comment)s?(?:\s+(?:yet|available|provided|given|needed))*|un-?documented|not\s+(?:yet\s+)?documented|no-?docs?|n\s*/\s*a\b|none|nothing|place-?holder|stub"
     r"|auto-?(?:matically\s+)?generated(?:\s+(?:stub|code|docstring|doc|documentation|comment|method|function))*|generated\s+(?:stub|code|docstring)|fill\s+(?:this\s+)?in(?:\s+later)?|see\s+(?:above|below|base\s+class|parent|super\w*|header|caller\w*|source|code)"
     r"|(?:add|write|insert|missing|needs?|put)\s+(?:a\s+|the\s+|some\s+)?(?:docs?\b|docstrings?|documentation|descriptions?|comments?|summary)(?:\s+(?:here|for\s+this(?:\s+\w+)?|later))*|documentation(?:\s+(?:missing|pending|goes\s+here|to\s+come|needed))+|docstrings?(?:\s+(?:missing|pending|goes\s+here))*"
+    r"|(?:write|document|describe)\s+me\b|documented\s+(?:elsewhere|later|below|above)"
     r"|description(?:\s+(?:missing|pending|goes\s+here|here|of\s+(?:the\s+)?(?:function|method)))*|explain\s+(?:this|what\s+(?:this|it)\s+does)|describe\s+(?:this|what\s+(?:this|it)\s+does)|self-?explanatory|inherit(?:ed|doc)?|same\s+as\s+above|work\s+in\s+progress|coming\s+soon|later|lorem\s+ipsum[^\n]*)",
     re.IGNORECASE,
 )
 #: Words that carry nothing on their own (fixed values).
 FILLERS = frozenset(
-    "a an the this that it its is are be does do did of to for and or with in on by from at as into function functions func fn method methods procedure routine helper helpers utility util wrapper implementation implements implement internal private public"
+    "a an the this that it its is are be does do did of to for and or with in on by from at as into function functions func fn method methods procedure routine helper helpers utility util wrapper implementation implements implement internal me stuff thing things something elsewhere"
     " member callback handler return returns returned returning param params parameter parameters arg args argument arguments kwargs keyword keywords type types rtype raise raises raised yield yields throw throws brief details note notes see summary desc description"
     " short long self cls value values result results input inputs output outputs init initialise initialize initializer constructor construct ctor destructor dunder main simple simply just basic generic default used use uses using define defines definition"
     " performs perform performing executes execute call calls called calling given here name named code void none null int char double float bool str string struct static const unsigned".split()
 )
+#: Different new words that say something; one is enough in a sentence of so many words (``asdf`` or ``Does things.`` says nothing).
+LEAST_WORDS, SENTENCE = 2, 4
 #: Every stand-in holds one of these (in lower case, blanks made single).
 _TRIGGERS = (
-    "todo", "to do", "fixme", "fix me", "xxx", "hack", "tbd", "tba", "wip", "no ", "doc", "n/a", "n /", "n/ a", "none", "nothing", "place", "stub", "generated", "fill", "see ", "add ",
+    "todo", "to do", " me", "elsewhere", "above", "below", "fixme", "fix me", "xxx", "hack", "tbd", "tba", "wip", "no ", "doc", "n/a", "n /", "n/ a", "none", "nothing", "place", "stub", "generated", "fill", "see ", "add ",
     "write ", "insert", "missing", "need", "put ", "descri", "explain", "self", "inherit", "same as", "work in", "coming", "later", "lorem",
 )
 _TAGGED = re.compile(r"[@\\:]\w")
@@ -80,12 +83,16 @@ def informative(doc: str | None, own: list[str]) -> bool:
     if any(t in low for t in _TRIGGERS):
         text = STAND_INS.sub(" ", text)
     known = {stem(w) for o in own for w in words_of(o)} | {o.lower() for o in own}
-    for token in re.findall(r"\w+", text):
+    new: set[str] = set()
+    tokens = re.findall(r"\w+", text)
+    for token in tokens:
         if token.lower() in known or token.lower() in FILLERS:
             continue
         for w in words_of(token):
             if w not in FILLERS and stem(w) not in known and w not in known and (len(w) > 1 or not w.isascii()):
-                return True
+                new.add(w)
+                if len(new) >= LEAST_WORDS or len(tokens) >= SENTENCE:
+                    return True
     return False
 
 

@@ -148,8 +148,8 @@ def test_deep_nesting_is_reported():
     assert source_check.parse_as("py", deep).why in ("too_deep", "") or not source_check.parse_as("py", deep).ok
 
 
-INFORMATIVE = ["Fetch ledger in 29 of 657 checkouts", "Returns the sum of both sides.", "Der Pfad sperrt die Regel.", "TODO: write docs\n\nReads each page twice.", ":param log: where the pool writes"]
-TRIVIAL = ["", "  ", "...", "-", "TODO(graph): explain this", "No description.", "Undocumented.", "n/a", "This is the fetch_ledger function", "fetch_ledger(log)", "Fetches the ledger.", "@param log\n@return", "Args:\n  log:\n", "Auto-generated stub.", "Fill in later", "See above.", "placeholder", "Method for fetch ledger.", "----------", "/** @param log */", "nodoc", "Helper to fetch ledger."]
+INFORMATIVE = ["Fetch ledger in 29 of 657 checkouts", "Returns the sum of both sides.", "Der Pfad sperrt die Regel.", "TODO: write docs\n\nReads each page twice.", ":param log: where the pool writes", "hack around bug 123 in libc", "Fetches the ledger for cold logs."]
+TRIVIAL = ["", "  ", "...", "-", "TODO(graph): explain this", "No description.", "Undocumented.", "n/a", "This is the fetch_ledger function", "fetch_ledger(log)", "Fetches the ledger.", "@param log\n@return", "Args:\n  log:\n", "Auto-generated stub.", "Fill in later", "See above.", "placeholder", "Method for fetch ledger.", "----------", "/** @param log */", "nodoc", "Helper to fetch ledger.", "Stuff.", "asdf", "Blah blah.", "Write me.", "Documented elsewhere.", "Does stuff.", "HACK: later"]
 
 
 def test_informative():

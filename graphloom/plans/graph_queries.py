@@ -38,7 +38,27 @@ def _latest_sql(view: str, key: str, order: str) -> str:
     return f"(SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY indexed_at DESC NULLS LAST, {order} DESC) AS rn_ FROM {view}) WHERE rn_ = 1)"
 
 
+_MODULE = r"array_to_string(list_filter(string_split(regexp_replace(regexp_replace({0}, '\.py$', ''), '^((cli|src|lib|python)/)+', ''), '/'), lambda x: x <> '' AND x <> '__pycache__'), '.')"
+_RELATIVE = r"""(SELECT path, CASE
+ WHEN list_position(p, 'packages') > 0 THEN array_to_string(p[list_position(p, 'packages'):], '/') WHEN list_position(p, 'src') > 0 THEN array_to_string(p[list_position(p, 'src') + 1:], '/')
+ WHEN list_position(p, 'include') > 0 THEN array_to_string(p[list_position(p, 'include'):], '/') WHEN list_position(p, 'lib') > 0 THEN array_to_string(p[list_position(p, 'lib'):], '/')
+ WHEN len(h) > 0 THEN array_to_string(p[list_min(h):], '/') ELSE p[-1] END AS relative FROM (
+ SELECT path, p, list_filter(list_transform(['comm', 'validation', 'sql', 'encryption', 'transactions', 'initialization', 'keystore', 'signing', 'utils', 'tests'], lambda c: list_position(p, c)), lambda x: x > 0) AS h FROM (SELECT path, string_split(path, '/') AS p FROM {0})))"""
+_ALL_PATHS = "(SELECT repo, path FROM src_files WHERE path IS NOT NULL UNION SELECT repo, file FROM import_decls WHERE file IS NOT NULL)"
+_DECLARED = r"""(SELECT DISTINCT repo, file AS importer, regexp_replace(module, '^[\s"''`]+|[\s"''`]+$', '', 'g') AS m FROM import_decls WHERE module IS NOT NULL AND file IS NOT NULL)"""
+_C_PATHS = rf"(SELECT path FROM {_ALL_PATHS} UNION SELECT regexp_replace(path, '\.c$', '.h') FROM {_ALL_PATHS})"
+_C_TARGETS = rf"""(SELECT f.repo, f.path AS imported, r.relative AS target FROM {_ALL_PATHS} f JOIN {_RELATIVE.format(_C_PATHS)} r ON r.path = f.path OR r.path = regexp_replace(f.path, '\.c$', '.h') WHERE regexp_matches(f.path, '\.[ch]$'))"""
+_C_ROOTS = rf"""(SELECT * FROM {_C_TARGETS} UNION SELECT repo, path, regexp_extract(regexp_replace(path, '\.c$', '.h'), '([^/]*)$', 1) FROM {_ALL_PATHS} WHERE regexp_matches(path, '\.[ch]$'))"""
+_C_MATCH = r"""(SELECT DISTINCT i.repo, importer, imported, m AS module FROM {declared} i JOIN {targets} t ON t.repo = i.repo AND i.m <> '' AND importer NOT LIKE '%.py'
+  AND regexp_extract(m, '([^/]*)$', 1) = regexp_extract(target, '([^/]*)$', 1) AND (m = target OR NOT contains(target, '/') OR suffix(m, '/' || target) OR suffix(target, '/' || m)))"""
+_PY_MATCH = rf"""(SELECT DISTINCT i.repo, importer, imported, m AS module FROM (SELECT *, regexp_replace(m, '^\.+', '') AS nm FROM {_DECLARED} WHERE importer LIKE '%.py') i
+  JOIN (SELECT repo, path AS imported, {_MODULE.format("path")} AS nt FROM {_ALL_PATHS} WHERE path LIKE '%.py') f ON f.repo = i.repo AND nm <> '' AND (
+   nm = nt OR (contains(nm, '.') AND starts_with(nt, nm || '.')) OR starts_with(nm, nt || '.') OR (starts_with(m, '.') AND suffix(nt, '.' || nm))))"""
+
 _CTES = {
+    "pymatch": _PY_MATCH,
+    "cmatch": _C_MATCH.format(declared=_DECLARED, targets=_C_TARGETS),
+    "croots": _C_MATCH.format(declared=_DECLARED, targets=_C_ROOTS),
     "fn": _latest_sql("func_defs", "fn_uid", "row_id"),
     "cls": _latest_sql("class_defs", "class_uid", "row_id"),
     "imp": _latest_sql("import_decls", "import_uid", "row_id"),
@@ -89,18 +109,23 @@ def _n() -> Column:
 # --- flagship and closures -----------------------------------------------------
 
 
+_REACHED = """seeds AS (SELECT DISTINCT repo, path FROM {fil} WHERE file_id % 100 = 0), py AS {pymatch},
+ steps AS (SELECT DISTINCT repo, imported AS a, importer AS b FROM (SELECT * FROM py UNION ALL SELECT * FROM {cmatch})), firsts AS (SELECT DISTINCT repo, imported AS a, importer AS b FROM (SELECT * FROM py UNION ALL SELECT * FROM {croots})),
+ r(repo, seed, node, depth) AS (SELECT s.repo, path, b, CAST(1 AS BIGINT) FROM seeds s JOIN firsts f ON f.repo = s.repo AND f.a = s.path UNION SELECT r.repo, seed, b, depth + 1 FROM r JOIN steps ON steps.repo = r.repo AND a = node WHERE depth < 21),
+ deps AS (SELECT repo, seed, node, min(depth) AS depth FROM r WHERE node <> seed OR seed NOT LIKE '%.py' GROUP BY ALL)"""
+
+
 @query(
-    """WITH RECURSIVE seeds AS (SELECT DISTINCT repo, path FROM {fil} WHERE file_id % 100 = 0), deps AS (SELECT DISTINCT repo, importer, imported FROM {deps}),
- r(repo, changed, affected) AS (SELECT repo, path, path FROM seeds UNION SELECT r.repo, changed, importer FROM r JOIN deps ON deps.repo = r.repo AND imported = affected),
- fn AS (SELECT fn_uid, repo, file FROM {fn}),
- callers AS (SELECT s.repo, s.path AS changed, c.repo AS r2, c.file AS affected FROM seeds s JOIN fn f ON f.repo = s.repo AND f.file = s.path JOIN {edg} e ON e.edge_type = 'callsFunction' AND e.dst = f.fn_uid JOIN fn c ON c.fn_uid = e.src)
- SELECT DISTINCT repo, changed, affected, 'import' AS category FROM r WHERE affected <> changed
- UNION SELECT DISTINCT repo, changed, affected, 'caller' FROM callers WHERE NOT (repo = r2 AND affected = changed)"""
+    "WITH RECURSIVE " + _REACHED + """, fn AS (SELECT fn_uid, repo, file, name FROM {fn}),
+ callers AS (SELECT s.repo, s.path AS changed, c.file AS affected FROM seeds s JOIN fn f ON f.repo = s.repo AND f.file = s.path AND trim(f.name) <> '' AND f.name <> '<module>' JOIN fn g ON g.repo = f.repo AND g.name = f.name
+  JOIN {edg} e ON e.edge_type = 'callsFunction' AND e.dst = g.fn_uid JOIN fn c ON c.fn_uid = e.src AND c.repo = s.repo)
+ SELECT DISTINCT repo, seed AS changed, node AS affected, 'import' AS category FROM deps WHERE seed <> node
+ UNION SELECT DISTINCT repo, changed, affected, 'caller' FROM callers WHERE affected <> changed"""
 )
 def flagship_impact_analysis(s: SparkSession, d: str) -> DataFrame:
-    """Files affected by each changed file: importers at any distance and callers (changed: files with an id divisible by 100)."""
+    """Files affected by each changed file: importers at any distance up to 21 and callers by name (changed: files with an id divisible by 100)."""
     changed = _fil(s, d).filter("file_id % 100 = 0")
-    return traverse.impact(changed, _deps(s, d), _fn(s, d), _edg(s, d))
+    return traverse.impact(changed, table(s, d, "import_decls"), table(s, d, "src_files"), _fn(s, d), _edg(s, d))
 
 
 @query(
@@ -115,24 +140,47 @@ def calls_within_two(s: SparkSession, d: str) -> DataFrame:
     return traverse.closure(seeds, steps, max_depth=2)
 
 
-@query(
-    """WITH RECURSIVE steps AS (SELECT DISTINCT repo, imported AS a, importer AS b FROM {deps}), seeds AS (SELECT DISTINCT repo, path FROM {fil} WHERE file_id % 100 = 0),
- r(repo, seed, node, depth) AS (SELECT repo, path, path, CAST(0 AS BIGINT) FROM seeds UNION SELECT r.repo, seed, b, depth + 1 FROM r JOIN steps ON steps.repo = r.repo AND a = node WHERE depth < 6)
- SELECT repo, seed, node, min(depth) AS depth FROM r GROUP BY ALL"""
-)
+def _dependents(s: SparkSession, d: str) -> DataFrame:
+    return traverse.dependents(_fil(s, d).filter("file_id % 100 = 0"), table(s, d, "import_decls"), table(s, d, "src_files"))
+
+
+@query("WITH RECURSIVE " + _REACHED + " SELECT repo, seed, node, depth FROM deps")
 def deps_transitive(s: SparkSession, d: str) -> DataFrame:
-    """Transitive importers of each stated file within six steps, with their least distance; cycles end by themselves."""
-    key = lambda r, p: F.concat_ws("\x1f", r, p)
-    seeds = _fil(s, d).filter("file_id % 100 = 0").select(key("repo", "path").alias("seed"), key("repo", "path").alias("node"))
-    steps = _deps(s, d).select(key("repo", "imported").alias("a"), key("repo", "importer").alias("b"))
-    found = traverse.closure(seeds, steps, max_depth=6)
-    return found.select(F.split("seed", "\x1f")[0].alias("repo"), F.split("seed", "\x1f")[1].alias("seed"), F.split("node", "\x1f")[1].alias("node"), "depth")
+    """Files that import or include each stated file, directly or not, with their least distance (1 to 21)."""
+    return _dependents(s, d).select("repo", F.col("changed").alias("seed"), F.col("file").alias("node"), "depth")
+
+
+@query("WITH RECURSIVE " + _REACHED + " SELECT s.repo, s.path AS file, count(node) AS count, coalesce(max(depth), 0) AS depth FROM seeds s LEFT JOIN deps d ON d.repo = s.repo AND d.seed = s.path GROUP BY ALL")
+def deps_summary(s: SparkSession, d: str) -> DataFrame:
+    """Number of dependents of each stated file and their greatest distance, 0 without any."""
+    per = _dependents(s, d).groupBy("repo", F.col("changed").alias("path")).agg(_n().alias("count"), F.max("depth").alias("depth"))
+    seeds = _fil(s, d).filter("file_id % 100 = 0").select("repo", "path").distinct()
+    return seeds.join(per, ["repo", "path"], "left").select("repo", F.col("path").alias("file"), F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+@query("SELECT repo, importer, imported, module FROM {pymatch}")
+def python_import_matching(s: SparkSession, d: str) -> DataFrame:
+    """Imports against all Python files they may mean: same, parent and child modules, relative suffixes."""
+    return traverse.python_matches(table(s, d, "import_decls"), table(s, d, "src_files"))
+
+
+@query("SELECT repo, importer, imported, module FROM {cmatch}")
+def include_matching(s: SparkSession, d: str) -> DataFrame:
+    """Includes against all C files they may mean by their relative paths."""
+    return traverse.c_matches(table(s, d, "import_decls"), table(s, d, "src_files"))
+
+
+@query("SELECT repo, importer, imported, module FROM {croots}")
+def include_matching_roots(s: SparkSession, d: str) -> DataFrame:
+    """The same for files that are asked for first, by their bare names too."""
+    return traverse.c_matches(table(s, d, "import_decls"), table(s, d, "src_files"), roots=True)
 
 
-@query("SELECT max(depth) AS depth, count(*) AS files FROM (" + "SELECT repo, importer, count(DISTINCT imported) AS depth FROM {deps} GROUP BY ALL)")
+@query("SELECT max(n) AS most, count(*) AS files FROM (" + "SELECT repo, importer, count(DISTINCT imported) AS n FROM {deps} GROUP BY ALL)")
 def max_fan_out(s: SparkSession, d: str) -> DataFrame:
-    per = _deps(s, d).groupBy("repo", "importer").agg(F.countDistinct("imported").alias("depth"))
-    return per.agg(F.max("depth").alias("depth"), _n().alias("files"))
+    """Most files that one file imports."""
+    per = _deps(s, d).groupBy("repo", "importer").agg(F.countDistinct("imported").alias("n"))
+    return per.agg(F.max("n").alias("most"), _n().alias("files"))
 
 
 @query("SELECT repo, importer, imported, module FROM {deps}")
@@ -141,9 +189,12 @@ def import_resolution(s: SparkSession, d: str) -> DataFrame:
     return _deps(s, d)
 
 
-@query("SELECT imported AS file, repo, string_agg(DISTINCT importer, ',' ORDER BY importer) AS importers FROM {deps} GROUP BY ALL")
+@query("SELECT f.repo, f.path AS file, count(DISTINCT imported) AS dependencies, min(imported) AS first FROM (SELECT DISTINCT repo, path FROM src_files WHERE path IS NOT NULL) f LEFT JOIN {deps} d ON d.repo = f.repo AND d.importer = f.path AND d.imported <> f.path GROUP BY ALL")
 def file_deps(s: SparkSession, d: str) -> DataFrame:
-    return _deps(s, d).groupBy(F.col("imported").alias("file"), "repo").agg(F.array_join(F.array_sort(F.collect_set("importer")), ",").alias("importers"))
+    """Files with how many files they depend on, those without any too; the pairs themselves are ``import_resolution``."""
+    per = _deps(s, d).filter("imported <> importer").groupBy("repo", F.col("importer").alias("path")).agg(F.countDistinct("imported").alias("n"), F.min("imported").alias("first"))
+    files = table(s, d, "src_files").filter("path is not null").select("repo", "path").distinct()
+    return files.join(per, ["repo", "path"], "left").select("repo", F.col("path").alias("file"), F.coalesce("n", F.lit(0)).alias("dependencies"), "first")
 
 
 # --- scans, filters, projections -------------------------------------------------

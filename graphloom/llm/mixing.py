@@ -33,35 +33,49 @@ import base64
 import importlib.util
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import pandas as pd
-import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.session import cut, small_side, spread
 
-TOKENIZERS = "/opt/tokenizers"
+if TYPE_CHECKING:
+    import tiktoken
+
+#: Folder of the public tokenizer's files on the driver's machine, and the vocabulary in it; tasks get the vocabulary from Spark.
+TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Bits of the hash that one level of buckets resolves, and levels (60 bits in all).
 BITS, LEVELS = 10, 6
 
 
-@lru_cache(maxsize=4)
-def _encoding(folder: str, name: str) -> tiktoken.Encoding:
+def word_pattern(folder: str) -> str:
+    """The pattern that splits text before the vocabulary is applied, from the folder's own module."""
     spec = importlib.util.spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
     files = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(files)
-    with open(f"{folder}/{name}", "rb") as f:
+    return files.PATTERN
+
+
+@lru_cache(maxsize=4)
+def _encoding(name: str, pattern: str) -> tiktoken.Encoding:
+    import tiktoken
+
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_sizes(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def token_sizes(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, h, tokens): token count and 60-bit hash of each document with a source."""
+    pattern = word_pattern(folder)
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{name}")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(folder, name)
+        encoding = _encoding(name, pattern)
         for frame in frames:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "h": frame["h"], "tokens": pd.Series(sizes, dtype="int64")})

@@ -96,13 +96,3 @@ def valid_vector(v: Column, dim: int) -> Column:
 
 def zero_vector(v: Column) -> Column:
     return F.coalesce(F.forall(v, lambda x: x == 0), F.lit(False))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0 with a zero vector."""
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)

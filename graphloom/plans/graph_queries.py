@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import exprs as X
 from graphloom.operators import nodes, search, snapshots, traverse
+from graphloom.session import small_side
 from graphloom.sources.tables import table
 from graphloom.streaming import debounce
 
@@ -784,4 +785,4 @@ def change_split(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("user_id", "event_type", "ts", "event_id")
     last = debounce.last_state(e, "user_id", "event_type").select("user_id", (F.col("event_type") == "error").alias("deleted"))
     sizes = last.groupBy("deleted").agg(_n().alias("in_group"))
-    return last.join(F.broadcast(sizes), "deleted").select("user_id", "deleted", "in_group")
+    return last.join(small_side(sizes), "deleted").select("user_id", "deleted", "in_group")

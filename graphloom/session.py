@@ -92,6 +92,7 @@ def local_session(cores: str = "*", app: str = "graphloom", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="graphloom-shared-"))
         .config("spark.driver.memory", os.environ.get("GRAPHLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

@@ -217,8 +217,10 @@ def judge_documents(documents: DataFrame) -> DataFrame:
     values = cut(values.withColumn("v", F.xxhash64("value")))
     copies = longer_copies(values.select(F.col("v").alias("h"), "value").dropDuplicates(["h"])).withColumnRenamed("h", "v")
     copies = values.select("h", "v").join(copies, "v").drop("v")
-    words = judged_words(ends.filter("form in ('item', 'closing', 'code', 'broken')"), vocabulary(documents))
-    judged = ends.join(words, "word", "left").join(copies, "h", "left")
+    words = judged_words(ends.filter("form in ('item', 'closing', 'code', 'broken')"), cut(vocabulary(documents)))
+    # most texts have no word to be judged: they don't meet in one partition of the join
+    known = ends.filter("word <> ''").join(words, "word", "left").unionByName(ends.filter("word = ''"), allowMissingColumns=True)
+    judged = known.join(copies, "h", "left")
     piles = (
         ends.groupBy("source", "n")
         .agg(F.count_if(F.col("form") == "cut").alias("unfinished"), F.count(F.lit(1)).alias("all"))

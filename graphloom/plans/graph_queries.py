@@ -23,13 +23,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, **shared: str) -> Callable:
+_REGISTRIES = {__name__: (QUERIES, SQL)}
+
+
+def registry(module: str) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """The queries and SQL of a module that uses ``query``."""
+    return _REGISTRIES.setdefault(module, ({}, {}))
+
+
+def query(sql: str | None = None) -> Callable:
     """Register a query under its function's name, with its SQL."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
+        queries, texts = registry(f.__module__)
+        queries[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql.format(**_CTES) if "{" in sql else sql
+            texts[f.__name__] = sql.format(**_CTES) if "{" in sql else sql
         return f
 
     return add
@@ -746,15 +755,6 @@ def upsert_snapshot(s: SparkSession, d: str) -> DataFrame:
     return snapshots.upsert(c.filter(F.col("indexed_at") < at), c.filter(F.col("indexed_at") >= at), "class_uid").select("class_uid", "row_id", "name")
 
 
-@query("""WITH gone AS (SELECT DISTINCT repo, path FROM src_files WHERE deleted_at IS NOT NULL), dead AS (SELECT DISTINCT fn_uid FROM func_defs f JOIN gone g ON g.repo = f.repo AND g.path = f.file)
- SELECT edge_type, src, dst FROM {edg} e WHERE src NOT IN (SELECT fn_uid FROM dead) AND dst NOT IN (SELECT fn_uid FROM dead)""")
-def cascade_delete(s: SparkSession, d: str) -> DataFrame:
-    """Edges that are left when files are deleted with all they contain."""
-    gone = table(s, d, "src_files").filter("deleted_at is not null").select("repo", F.col("path").alias("file")).distinct()
-    dead = table(s, d, "func_defs").join(gone, ["repo", "file"], "left_semi").select(F.col("fn_uid").alias("uid"))
-    return snapshots.delete_edges(_edg(s, d), dead).select("edge_type", "src", "dst")
-
-
 @query(f"""WITH replaced AS (SELECT DISTINCT repo, file FROM func_defs WHERE indexed_at >= TIMESTAMP '{_CUT}')
  SELECT row_id FROM func_defs f WHERE indexed_at >= TIMESTAMP '{_CUT}' OR NOT EXISTS (SELECT 1 FROM replaced r WHERE r.repo = f.repo AND r.file = f.file)""")
 def file_replace(s: SparkSession, d: str) -> DataFrame:

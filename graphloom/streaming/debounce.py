@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.operators.snapshots import Workspaces
+
 #: Suffixes that are watched.
 WATCHED = r"\.(py|c|h|cpp|cc|cxx|hpp|hh|hxx)$"
 
@@ -37,3 +39,14 @@ def watch_folder(spark: SparkSession, folder: str, schema: str, handler: Callabl
     """Apply ``handler`` to each micro-batch of change events (JSON lines) that appear in a folder."""
     stream = spark.readStream.schema(schema).json(folder).filter(F.col("path").rlike(WATCHED))
     return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).start()
+
+
+def watch_workspace(
+    spark: SparkSession, workspaces: Workspaces, workspace: str, nodes: DataFrame, folder: str, schema: str, handler: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """``watch_folder`` for a registered workspace with a stored graph; ValueError without one of them."""
+    if not workspaces.registered(workspace):
+        raise ValueError(f"workspace isn't registered: {workspace}")
+    if nodes.isEmpty():
+        raise ValueError("the graph is empty: index the workspace first")
+    return watch_folder(spark, folder, schema, handler, checkpoint)

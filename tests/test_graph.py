@@ -125,3 +125,77 @@ def test_embedding(spark):
     assert near == [(1, 1), (1, 2)]
     text = df.select(embed.listed_text(F.col("name"), "Methods", F.array(F.lit("a"), F.lit("b"))).alias("t")).first().t
     assert text == "load_page\nMethods: a, b"
+
+
+NODE, EDGE = "kind string, uid string, repo string, file string, label string, h string", "edge_type string, src string, dst string"
+
+
+def test_store_inserts_replaces_and_cascades(spark):
+    nodes = spark.createDataFrame([("File", "f1", "r", "a.py", "a.py", "1"), ("Function", "x", "r", "a.py", "go", "1"), ("Function", "y", "r", "b.py", "stop", "1"), ("Class", "c", "r", "a.py", "K", "1"), ("Function", "z", "r", "c.py", "go", "1")], NODE)
+    edges = spark.createDataFrame([("callsFunction", "y", "x"), ("containsFunction", "f1", "x"), ("callsFunction", "z", "y")], EDGE)
+    new = spark.createDataFrame([("Function", "x", "r", "a.py", "go", "2"), ("Function", "y", "r", "b.py", "stop", "1"), ("Function", "n", "r", "b.py", "new", "1"), ("Function", "e", "r", "b.py", " ", "1"), ("Class", "q", None, None, None, None)], NODE)
+    links = spark.createDataFrame([("callsFunction", "n", "x"), ("callsFunction", "n", "x"), ("callsFunction", "n", "nowhere"), ("callsFunction", "y", "x")], EDGE)
+    after, linked, done = snapshots.insert_graph(nodes, edges, new, links)
+    assert {r.uid: r.status for r in done.collect()} == {"x": "updated", "y": "unchanged", "n": "inserted", "e": "rejected", "q": "rejected"}
+    assert {(r.uid, r.h) for r in after.collect()} == {("f1", "1"), ("x", "2"), ("y", "1"), ("c", "1"), ("z", "1"), ("n", "1")}
+    assert sorted((r.src, r.dst) for r in linked.collect()) == [("f1", "x"), ("n", "x"), ("y", "x"), ("z", "y")]
+    files = spark.createDataFrame([("r", "a.py")], "repo string, file string")
+    kept, left = snapshots.delete_cascade(nodes, edges, files)
+    assert {r.uid for r in kept.collect()} == {"y", "z"} and [(r.src, r.dst) for r in left.collect()] == [("z", "y")]
+    fresh = spark.createDataFrame([("File", "f1", "r", "a.py", "a.py", "2"), ("Function", "w", "r", "a.py", "walk", "1")], NODE)
+    kept, left = snapshots.replace_files(nodes, edges, files, fresh, links.limit(0))
+    assert {r.uid for r in kept.collect()} == {"f1", "w", "y", "z"} and sorted((r.src, r.dst) for r in left.collect()) == [("y", "z"), ("z", "y")]  # go is found in c.py
+    assert snapshots.insert_graph(nodes.limit(0), edges.limit(0), new.limit(0), links.limit(0))[0].count() == 0
+
+
+def test_change_batch(spark):
+    t = dt.datetime(2024, 1, 1)
+    nodes = spark.createDataFrame([("Function", "x", "r", "a.py", "go", "1"), ("Function", "y", "r", "b.py", "stop", "1")], NODE)
+    edges = spark.createDataFrame([("callsFunction", "y", "x")], EDGE)
+    events = spark.createDataFrame([("r", "a.py", False, t), ("r", "a.py", True, t + dt.timedelta(1)), ("r", "b.py", True, t), ("r", "b.py", False, t + dt.timedelta(1))], "repo string, file string, deleted boolean, ts timestamp")
+    new = spark.createDataFrame([("Function", "y", "r", "b.py", "stop", "1"), ("Function", "v", "r", "b.py", "late", "1"), ("Function", "u", "r", "other.py", "not read", "1")], NODE)
+    after, left, status = snapshots.apply_changes(nodes, edges, events, new, edges.limit(0))
+    assert {(r.uid, r.status) for r in status.collect()} == {("x", "deleted"), ("y", "unchanged"), ("v", "inserted")}
+    assert {r.uid for r in after.collect()} == {"y", "v"} and left.count() == 0
+
+
+def test_stored_state_and_checks_before_watching(spark, tmp_path):
+    known = snapshots.HashTable(spark, str(tmp_path / "hashes"))
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "h string")
+    assert {r.stored for r in known.marked(rows).collect()} == {False}
+    known.add(rows)
+    known.add(rows)
+    assert known.read().count() == 2 and {r.stored for r in known.marked(rows).collect()} == {True}
+    known.clear()
+    assert not known.exists()
+    spaces = snapshots.Workspaces(spark, str(tmp_path / "spaces"))
+    nodes = spark.createDataFrame([(1,)], "uid int")
+    watch = lambda n: debounce.watch_workspace(spark, spaces, "/w", n, str(tmp_path / "in"), "path string", lambda df, b: None, str(tmp_path / "cp"))
+    import pytest
+
+    with pytest.raises(ValueError, match="registered"):
+        watch(nodes)
+    spaces.save(spark.createDataFrame([("/w", 7, dt.datetime(2024, 1, 1))], "path string, namespace bigint, registered_at timestamp"))
+    with pytest.raises(ValueError, match="empty"):
+        watch(nodes.limit(0))
+    (tmp_path / "in").mkdir()
+    q = watch(nodes)
+    assert q.isActive
+    q.stop()
+    spaces.clear()
+    assert not spaces.registered("/w")
+
+
+def test_import_matching_in_all_ways(spark):
+    imports = [("a.b", "m.py"), ("a.b.c.d", "m.py"), ("a", "m.py"), (".c", "q.py"), ("x", "m.py"), ("util/h.h", "k.c"), ("h.h", "k.c"), ("packages/util/h.h", "l.c"), (None, "m.py"), (" ", "m.py"), (".", "m.py")]
+    i = spark.createDataFrame([("r", m, f) for m, f in imports], "repo string, module string, file string")
+    f = spark.createDataFrame([("r", "src/a/b/c.py"), ("r", "include/util/h.h"), ("r", "util/h.c"), ("r", None)], "repo string, path string")
+    got = {(r.importer, r.module) for r in traverse.python_matches(i, f).filter("imported = 'src/a/b/c.py'").collect()}
+    assert got == {("m.py", "a.b"), ("m.py", "a.b.c.d"), ("q.py", ".c")}
+    got = {(r.imported, r.importer, r.module) for r in traverse.c_matches(i, f).collect()}
+    assert got == {("include/util/h.h", "k.c", "h.h"), ("util/h.c", "k.c", "util/h.h"), ("util/h.c", "k.c", "h.h"), ("util/h.c", "l.c", "packages/util/h.h")} | {(x, y, z) for x, y, z in got if x == "include/util/h.h"}
+    roots = traverse.c_matches(i, f, roots=True)
+    assert {(r.imported, r.module) for r in roots.collect()} >= {("include/util/h.h", m) for m in ("h.h", "util/h.h", "packages/util/h.h")}
+    chain = [(f"m{n}", f"m{n + 1}.py") for n in range(25)]
+    found = traverse.dependents(spark.createDataFrame([("r", "m0.py")], "repo string, path string"), spark.createDataFrame([("r", m, p) for m, p in chain], "repo string, module string, file string"), spark.createDataFrame([("r", "m0.py")], "repo string, path string"))
+    assert {(r.file, r.depth) for r in found.collect()} == {(f"m{n}.py", n) for n in range(1, 22)}

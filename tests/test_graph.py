@@ -37,10 +37,15 @@ def test_vectors(spark):
     assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (False, False), 5: (False, False)}
 
 
-def test_python_facts():
+def facts_of(spark, path, code, stdlib=frozenset({"os"})):
+    df = spark.createDataFrame([(1, "r", path, code)], "file_id bigint, repo string, path string, content string")
+    return sorted(extract.extract_facts(df, stdlib).collect(), key=lambda f: (f.line, f.col))
+
+
+def test_python_facts(spark):
     code = "import os, thing as t\nfrom .pkg import a, b as c\n\nclass K(Base, m.N, metaclass=M):\n    def go(self, x, y=1, z: int = 2, *args):\n        'Doc.'\n        return t.run(helper(x))\n\ndef top() -> int:\n    return K().go(1)\n\ntop()\n"
-    facts = list(extract.python_facts(code, frozenset({"os"})))
-    by = lambda k: [(f.name, f.owner, f.detail, f.items) for f in facts if f.kind == k]
+    facts = facts_of(spark, "a.py", code)
+    by = lambda k: [(f.name, f.owner, f.detail, f["items"]) for f in facts if f.kind == k]
     assert by("import") == [(".pkg", None, "c", ["a", "b"])]
     assert by("class") == [("K", "Base,m.N", None, ["go"])]
     assert by("function") == [("go", None, "go(self, x, y)", ["self", "x", "y"]), ("top", "int", "top() -> int", [])]
@@ -48,10 +53,19 @@ def test_python_facts():
     assert sorted((n, o, d) for n, o, d, _ in by("call")) == [("K", "top", "plain"), ("go", "top", "method"), ("helper", "go", "plain"), ("run", "go", "method"), ("top", "module", "plain")]
 
 
-def test_c_facts():
+def test_more_python_facts(spark):
+    code = '@dec(1)\nclass A:\n    class B(C[int], x()):\n        async def f(self, a=g()):\n            def inner(): return h()\n            """late"""\n    def f(self): "one"\nfrom os import (x,\n  y as z)\nimport q.r as s, t.u as v\nx[0](1); f"{k()}"\n'
+    facts = facts_of(spark, "b.py", code)
+    assert [(f.name, f.owner, f["items"]) for f in facts if f.kind == "class"] == [("A", None, ["f", "inner", "f"]), ("B", None, ["f", "inner"])]
+    assert [(f.name, f.owner) for f in facts if f.kind == "call"] == [("dec", "module"), ("x", "module"), ("g", "f"), ("h", "inner")]
+    assert [(f.name, f.detail) for f in facts if f.kind == "docstring"] == [("f", "late"), ("f", "one")]
+    assert [(f.name, f.detail, f["items"]) for f in facts if f.kind == "import"] == [("q.r", "v", ["t.u"])]
+
+
+def test_c_facts(spark):
     code = '#include <stdio.h>\n#include "own.h"\n#define LIMIT 10\n#define F(x) x\ntypedef struct { int a; char *b; } box;\nstruct node { struct node *next; int v[3]; };\ntypedef unsigned long word;\nstatic int count;\nint use(struct node *p, int k);\nint use(struct node *p, int k) {\n    int n;\n    p->v = go(LIMIT);\n    return k;\n}\n'
-    facts = list(extract.c_facts(code))
-    by = lambda k: [(f.name, f.owner, f.detail, f.items) for f in facts if f.kind == k]
+    facts = facts_of(spark, "a.c", code)
+    by = lambda k: [(f.name, f.owner, f.detail, f["items"]) for f in facts if f.kind == k]
     assert [x[0] for x in by("import")] == ["own.h"]
     assert by("macro") == [("LIMIT", None, "10", None)]
     assert [(n, i) for n, _, _, i in by("struct")] == [("box", ["a", "b"]), ("node", ["next", "v"])]
@@ -61,9 +75,10 @@ def test_c_facts():
     assert [(n, o, d) for n, o, d, _ in by("field_access")] == [("v", "node", "pointer")]
     assert [(n, o) for n, o, *_ in by("variable")] == [("count", None), ("n", "use")]
     assert [n for n, *_ in by("macro_usage")] == ["LIMIT"]
-    more = list(extract.c_facts("typedef int word;\nint total;\nvoid f(void) {\n    int n;\n    word w;\n    n = total;\n}\nvoid g(void) { n = 1; }\n"))
+    more = facts_of(spark, "b.c", "typedef int word;\nint total;\nvoid f(void) {\n    int n;\n    word w;\n    n = total;\n    (*fp)(1);\n    struct far *q = 0;\n}\nvoid g(void) { n = 1; }\n")
     assert [(f.name, f.owner, f.detail) for f in more if f.kind == "variable_usage"] == [("n", "f", "local"), ("total", "f", "global"), ("n", "g", "other")]
     assert [(f.name, f.owner) for f in more if f.kind == "typedef_usage"] == [("word", "f")]
+    assert [(f.name, f.owner) for f in more if f.kind == "call"] == [("fp", "f")] and [f.name for f in more if f.kind == "struct"] == ["far"]
 
 
 def test_extraction_isolates_bad_files(spark):

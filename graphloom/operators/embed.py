@@ -29,19 +29,28 @@ class HashingEmbedder:
 
     def __init__(self, dim: int = DIMENSION) -> None:
         self.dim = dim
+        self._known: dict[str, np.ndarray] = {}
+
+    def _word(self, word: str) -> np.ndarray:
+        """Places and signs of a word's n-grams as one number each: place times two, plus one if it counts up."""
+        if word not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            padded = f"<{word}>"
+            found = [zlib.crc32(padded[i : i + n].encode()) for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
+            h = np.array(found, dtype=np.int64)
+            self._known[word] = ((h >> 1) % self.dim) * 2 + (h & 1)
+        return self._known[word]
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for row, text in zip(out, texts):
-            for word in text.lower().replace("_", " ").split():
-                padded = f"<{word}>"
-                for n in (3, 4, 5):
-                    for i in range(len(padded) - n + 1):
-                        h = zlib.crc32(padded[i : i + n].encode())
-                        row[(h >> 1) % self.dim] += 1.0 if h & 1 else -1.0
-            if norm := float(np.sqrt((row * row).sum())):
-                row /= norm
-        return out
+        """One count over all n-grams of all texts; words are hashed once."""
+        parts = [[self._word(w) for w in text.lower().replace("_", " ").split()] for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [sum(map(len, p)) for p in parts])
+        grams = np.concatenate([g for p in parts for g in p]) if len(rows) else np.zeros(0, dtype=np.int64)
+        counts = np.bincount(rows * self.dim + grams // 2, weights=(grams % 2) * 2.0 - 1.0, minlength=len(texts) * self.dim)
+        out = counts.astype(np.float64).reshape(len(texts), self.dim)
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 
 
 def _present(c: Column) -> Column:

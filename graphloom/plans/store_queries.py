@@ -386,6 +386,21 @@ def topk_per_type(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query()
+def knn_indexed(s: SparkSession, d: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100, by an index of cells that holds all vectors."""
+    e = table(s, d, "embeddings")
+    return search.CellIndex(e, 64).nearest(e.filter("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "rank")
+
+
+@query()
+def knn_recall(s: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten nearest vectors that the index finds."""
+    e = table(s, d, "embeddings")
+    asked = e.filter("vec_id % 100 = 0")
+    return search.recall(search.CellIndex(e, 64).nearest(asked, 10), search.nearest(asked, e, 10, 64))
+
+
 @query(
     """WITH h AS (SELECT DISTINCT b.name AS symbol, a.repo, a.file FROM {edg} e JOIN {fn} a ON a.fn_uid = e.src JOIN {fn} b ON b.fn_uid = e.dst WHERE e.edge_type = 'callsFunction')
  SELECT symbol, count(*) AS count, min(file) AS first_file FROM h GROUP BY ALL"""

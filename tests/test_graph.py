@@ -31,6 +31,25 @@ def test_nearest_against_brute_force(spark):
         assert [got[(q, k + 1)] for k in range(5)] == order.tolist()
 
 
+def test_nearest_in_blocks_and_by_index(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    v = centres[rng.integers(0, 12, 1500)] + 0.6 * rng.normal(size=(1500, 16))
+    v[500:1000] = centres[0] + 0.6 * rng.normal(size=(500, 16))  # a third in one place
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(None, [1.0] * 16), (9001, None), (9002, [0.0] * 16)], "vec_id bigint, embedding array<double>")
+    asked = df.filter("vec_id % 20 = 0")
+    want = {(r.query_id, r["rank"]): r.vec_id for r in search.nearest(asked, df, 10, 16).collect()}
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 20)
+    monkeypatch.setattr(search, "NUMBERS_AT_ONCE", 16 * 200)
+    exact = search.nearest(asked, df, 10, 16)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in exact.collect()} == want and len(want) == 750
+    index = search.CellIndex(df, 16)
+    assert index.rows.count() == 1501
+    got = search.recall(index.nearest(asked, 10, probes=6), exact).first()
+    assert got.queries == 75 and got.recall >= 0.9
+    assert search.nearest(asked.limit(0), df, 10, 16).count() == 0 and search.CellIndex(df.limit(0), 16).nearest(asked, 10).count() == 0
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("inf"), 1.0]), (5, [1.0])]
     got = {r.i: (r.valid, r.zero) for r in spark.createDataFrame(rows, "i int, v array<double>").select("i", X.valid_vector(F.col("v"), 2).alias("valid"), X.zero_vector(F.col("v")).alias("zero")).collect()}

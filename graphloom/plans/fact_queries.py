@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from graphloom.functions import exprs as X
 from graphloom.operators import embed, extract, search
 from graphloom.operators.extract import extract_facts
 from graphloom.operators.nodes import first_by
@@ -173,3 +175,23 @@ def _usages(f: DataFrame, kind: str, use: str) -> DataFrame:
     defs = f.filter(F.col("kind") == kind).select(F.col("name").alias("symbol"), F.lit("definition").alias("type"), "path", "line", F.coalesce("detail", F.lit("")).alias("context"))
     uses = f.filter(F.col("kind") == use).select(F.col("name").alias("symbol"), F.lit("usage").alias("type"), "path", F.lit(0).alias("line"), F.coalesce("owner", F.lit("")).alias("context")).distinct()
     return defs.unionByName(uses)
+
+
+def _by_text(asked: DataFrame, rows: DataFrame, kind: str, pattern: str, limit: int) -> DataFrame:
+    """The ``limit`` rows (vec_id, name, file, text) nearest to each asked text among twice as many whose file matches a pattern."""
+    vectors = cut(embed.embed(rows, "vec_id", F.col("text")))
+    some = asked.filter(F.exists("embedding", lambda x: x != 0))  # a text without words is similar to nothing
+    near = search.nearest(some, vectors.filter(F.exists("embedding", lambda x: x != 0)), 2 * limit, embed.DIMENSION)
+    named = near.join(rows.filter(X.glob_match(F.col("file"), pattern)).select("vec_id", "name", "file"), "vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return named.withColumn("place", rank).filter(F.col("place") <= limit).select(F.lit(kind).alias("kind"), "query_id", "vec_id", "name", "file", "similarity", F.col("place").cast("bigint").alias("rank"))
+
+
+@query()
+def semantic_code_search(s: SparkSession, d: str) -> DataFrame:
+    """Functions and classes of Python files nearest to the texts of the documents with an id divisible by 100."""
+    asked = table(s, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("vec_id"), "text")
+    asked = cut(embed.embed(spread(asked), "vec_id", F.col("text")))
+    f = spread(table(s, d, "func_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.function_text(F.col("name"), F.col("signature"), F.col("docstring")).alias("text")))
+    c = spread(table(s, d, "class_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.listed_text(F.col("name"), "Methods", F.col("methods")).alias("text")))
+    return _by_text(asked, f, "function", "*.py", 10).unionByName(_by_text(asked, c, "class", "*.py", 10))

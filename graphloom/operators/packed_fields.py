@@ -6,15 +6,15 @@ from source to source and even inside one row. The delimiters are inferred:
 1. every row is unwrapped (quotes or brackets around the whole list) and its
    *profile* is taken: the delimiter characters that occur outside quotes and
    brackets;
-2. a *source* is (group columns, profile); for each source every candidate set
-   of delimiters is scored over all its rows on the consistency of the number
-   of pieces (against the declared names where a signature exists) and on the
-   regularity of the pieces' type (share of pieces that are one parameter);
+2. a *source* is (group columns, profile); for each source every set of delimiters
+   is scored over all its rows on the consistency of the number of pieces (with
+   the declared names, where there are none with the pieces that are one
+   parameter each) and on the regularity of the pieces' type;
 3. each row is split by the candidate that agrees with its own signature, ties
    going to the better score of its source, and exploded with its position.
 
-The scoring passes send one partial row per source and candidate and partition
-(map-side combined), never the rows themselves.
+Every text is scanned once. The scoring pass sends one partial row per source and candidate and partition
+(map-side combined), never the rows.
 
 Cases: null or blank fields give no rows, as do lists of nothing (``()``,
 ``[""]``); empty slots take no position; a quote that never closes is an
@@ -24,16 +24,17 @@ whatever their names, don't matter.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.session import small_side, spread
+from graphloom.session import cut, small_side, spread
 
 #: Characters that may separate values.
 DELIMITERS = ",;|\n\r\t；，、"
@@ -142,10 +143,10 @@ def cut_at(text: str, found: list[tuple[int, str]], chosen: str) -> list[str]:
     return pieces
 
 
+@lru_cache(maxsize=4096)
 def candidates(profile: str) -> list[str]:
-    """Delimiter sets to be scored for a profile: all of it, all but one, and each alone."""
-    sets = [profile, *(profile.replace(c, "") for c in profile if len(profile) > 2), *(profile if len(profile) > 1 else "")]
-    return list(dict.fromkeys(sets))
+    """Delimiter sets to be scored for a profile: all its subsets, the larger first."""
+    return ["".join(c) for n in range(len(profile), 0, -1) for c in itertools.combinations(profile, n)]
 
 
 def declared(signature: str | None) -> int | None:
@@ -161,31 +162,43 @@ def _profile(found: list[tuple[int, str]]) -> str:
     return "".join(sorted({c for _, c in found}))
 
 
+def _scan_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for row_id, source, packed, signature in zip(frame["row_id"], frame["source"], frame["packed"], frame["signature"]):
+            text, found = unwrap(packed)
+            rows.append((row_id, source, text, [at for at, _ in found], _profile(found), declared(signature)))
+        out = pd.DataFrame(rows, columns=["row_id", "source", "text", "places", "profile", "names"])
+        yield out.astype({"row_id": "Int64", "names": "Int32"})
+
+
+def _found(text: str, places: list[int]) -> list[tuple[int, str]]:
+    return [(at, text[at]) for at in places]
+
+
 def _score_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[tuple[str, str, str], list[int]] = {}
     for frame in frames:
-        for source, packed, signature in zip(frame["source"], frame["packed"], frame["signature"]):
-            text, found = unwrap(packed)
-            if not found:
-                continue
-            profile, names = _profile(found), declared(signature)
+        for source, text, places, profile, names in zip(frame["source"], frame["text"], frame["places"], frame["profile"], frame["names"]):
+            found = _found(text, places)
             for chosen in candidates(profile):
                 pieces = cut_at(text, found, chosen)
+                regular = sum(_ONE.fullmatch(p) is not None for p in pieces)
                 s = sums.setdefault((source, profile, chosen), [0, 0, 0, 0])
-                s[0] += names is not None
-                s[1] += names is not None and names == len(pieces)
+                s[0] += 1
+                s[1] += regular == len(pieces) if pd.isna(names) else names == len(pieces)
                 s[2] += len(pieces)
-                s[3] += sum(_ONE.fullmatch(p) is not None for p in pieces)
-    yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "profile", "chosen", "known", "agree", "pieces", "regular"])
+                s[3] += regular
+    yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "profile", "chosen", "rows", "agree", "pieces", "regular"])
 
 
-def delimiter_scores(rows: DataFrame) -> DataFrame:
-    """Score of every candidate per source: (source, profile, chosen, score)."""
-    partial = rows.select("source", "packed", "signature").mapInPandas(
-        _score_rows, "source string, profile string, chosen string, known bigint, agree bigint, pieces bigint, regular bigint"
+def delimiter_scores(scanned: DataFrame) -> DataFrame:
+    """Score of every candidate per source: (source, profile, chosen, score); sources with one delimiter leave no choice."""
+    partial = scanned.filter(F.length("profile") > 1).select("source", "text", "places", "profile", "names").mapInPandas(
+        _score_rows, "source string, profile string, chosen string, rows bigint, agree bigint, pieces bigint, regular bigint"
     )
-    total = partial.groupBy("source", "profile", "chosen").agg(*(F.sum(c).alias(c) for c in ("known", "agree", "pieces", "regular")))
-    consistency = (F.col("agree") + 1) / (F.col("known") + 2)
+    total = partial.groupBy("source", "profile", "chosen").agg(*(F.sum(c).alias(c) for c in ("rows", "agree", "pieces", "regular")))
+    consistency = (F.col("agree") + 1) / (F.col("rows") + 2)
     regularity = (F.col("regular") + 1) / (F.col("pieces") + 2)
     return total.select("source", "profile", "chosen", (consistency * 2 + regularity).alias("score"))
 
@@ -193,13 +206,11 @@ def delimiter_scores(rows: DataFrame) -> DataFrame:
 def _split_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         ids, places, values = [], [], []
-        for row_id, packed, signature, ranked in zip(frame["row_id"], frame["packed"], frame["signature"], frame["ranked"]):
-            text, found = unwrap(packed)
-            profile = _profile(found)
-            options = list(ranked) if ranked is not None and len(ranked) else candidates(profile)
+        for row_id, text, at, profile, names, ranked in zip(frame["row_id"], frame["text"], frame["places"], frame["profile"], frame["names"], frame["ranked"]):
+            found = _found(text, at)
+            options = list(ranked) if ranked is not None else candidates(profile) or [""]
             pieces = cut_at(text, found, options[0])
-            names = declared(signature)
-            if names is not None and len(pieces) != names:
+            if len(options) > 1 and not pd.isna(names) and len(pieces) != names:
                 for chosen in options[1:]:
                     if len(other := cut_at(text, found, chosen)) == names:
                         pieces = other
@@ -207,12 +218,7 @@ def _split_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids += [row_id] * len(pieces)
             places += range(1, len(pieces) + 1)
             values += pieces
-        yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "pos": pd.Series(places, dtype="int64"), "param": pd.Series(values, dtype="object")})
-
-
-@F.pandas_udf(T.StringType())
-def _profile_of(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda p: _profile(unwrap(p)[1]))
+        yield pd.DataFrame({"row_id": pd.Series(ids, dtype="Int64"), "pos": pd.Series(places, dtype="int64"), "param": pd.Series(values, dtype="object")})
 
 
 def split_packed(df: DataFrame, id_col: str, packed_col: str, signature_col: str | None = None, source_cols: tuple[str, ...] = ()) -> DataFrame:
@@ -220,6 +226,7 @@ def split_packed(df: DataFrame, id_col: str, packed_col: str, signature_col: str
 
     ``source_cols`` name the columns (besides the profile) that make up a source;
     ``signature_col`` the column of a declaration that lists the bare names.
+    Texts are scanned once; scoring and splitting work on the places found.
     """
     source = F.concat_ws("␟", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in source_cols)) if source_cols else F.lit("")
     rows = df.select(
@@ -228,15 +235,14 @@ def split_packed(df: DataFrame, id_col: str, packed_col: str, signature_col: str
         F.col(packed_col).alias("packed"),
         (F.col(signature_col) if signature_col else F.lit(None).cast("string")).alias("signature"),
     ).filter(F.col("packed").rlike(r"\S"))
-    rows = spread(rows)
+    scanned = cut(spread(rows).mapInPandas(_scan_rows, "row_id bigint, source string, text string, places array<int>, profile string, names int"))
     ranked = (
-        delimiter_scores(rows)
+        delimiter_scores(scanned)
         .groupBy("source", "profile")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("score"), F.length("chosen").alias("n"), "chosen")), asc=False).alias("r"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("score"), F.length("chosen").alias("n"), "chosen")), asc=False).alias("r"))  # the candidates of one profile
         .select("source", "profile", F.transform("r", lambda x: x["chosen"]).alias("ranked"))
     )
-    keyed = rows.withColumn("profile", _profile_of("packed"))
-    return keyed.join(small_side(ranked), ["source", "profile"], "left").select("row_id", "packed", "signature", "ranked").mapInPandas(
+    return scanned.join(small_side(ranked), ["source", "profile"], "left").select("row_id", "text", "places", "profile", "names", "ranked").mapInPandas(
         _split_rows, "row_id bigint, pos bigint, param string"
     )
 

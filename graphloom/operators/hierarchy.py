@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.session import cut
+from graphloom.session import cut, small_side
 
 
 def bare_name(base: Column) -> Column:
@@ -180,7 +180,7 @@ def descendants_of(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = heavy.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("head").alias("chain"), F.col("place").alias("from"))
     own = F.struct(F.col("head").alias("chain"), F.col("place").alias("place"))
     passed = heavy.select(F.col("node").alias("descendant"), F.explode(F.concat(F.array(own), "above")).alias("x")).select("descendant", "x.chain", "x.place")
-    return asked.join(passed, "chain").filter((F.col("place") >= F.col("from")) & (F.col("descendant") != F.col("node"))).select("node", "descendant")
+    return passed.join(small_side(asked), "chain").filter((F.col("place") >= F.col("from")) & (F.col("descendant") != F.col("node"))).select("node", "descendant")
 
 
 def class_hierarchy(class_defs: DataFrame) -> DataFrame:

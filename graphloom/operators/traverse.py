@@ -159,10 +159,10 @@ def dependents(changed: DataFrame, import_decls: DataFrame, src_files: DataFrame
     dependent, a C file is if it is reached again. Files become integers first,
     so that the rounds carry three numbers a row.
     """
-    python = python_matches(import_decls, src_files)
+    python = cut(python_matches(import_decls, src_files).select("repo", "imported", "importer").distinct())
     both = lambda df: df.select("repo", F.col("imported").alias("a"), F.col("importer").alias("b")).distinct()
-    steps = cut(both(python.unionByName(c_matches(import_decls, src_files))))
-    first = cut(both(python.unionByName(c_matches(import_decls, src_files, roots=True))))
+    steps = cut(both(python.unionByName(c_matches(import_decls, src_files).drop("module"))))
+    first = cut(both(python.unionByName(c_matches(import_decls, src_files, roots=True).drop("module"))))
     seeds = changed.select("repo", F.col("path").alias("a")).distinct()
     names = first.select("repo", F.col("a").alias("path")).unionByName(first.select("repo", F.col("b").alias("path"))).unionByName(seeds.select("repo", F.col("a").alias("path")))
     codes = cut(names.distinct().withColumn("id", F.monotonically_increasing_id()))

@@ -177,8 +177,8 @@ def _usages(f: DataFrame, kind: str, use: str) -> DataFrame:
     return defs.unionByName(uses)
 
 
-def _by_text(asked: DataFrame, rows: DataFrame, kind: str, pattern: str, limit: int) -> DataFrame:
-    """The ``limit`` rows (vec_id, name, file, text) nearest to each asked text among twice as many whose file matches a pattern."""
+def by_text(asked: DataFrame, rows: DataFrame, kind: str, pattern: str, limit: int) -> DataFrame:
+    """The ``limit`` rows (vec_id, name, file, text) nearest to each asked vector among twice as many whose file matches a pattern."""
     vectors = cut(embed.embed(rows, "vec_id", F.col("text")))
     some = asked.filter(F.exists("embedding", lambda x: x != 0))  # a text without words is similar to nothing
     near = search.nearest(some, vectors.filter(F.exists("embedding", lambda x: x != 0)), 2 * limit, embed.DIMENSION)
@@ -187,11 +187,17 @@ def _by_text(asked: DataFrame, rows: DataFrame, kind: str, pattern: str, limit:
     return named.withColumn("place", rank).filter(F.col("place") <= limit).select(F.lit(kind).alias("kind"), "query_id", "vec_id", "name", "file", "similarity", F.col("place").cast("bigint").alias("rank"))
 
 
+def searched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, name, file, text) of functions and of classes."""
+    f = spread(table(s, d, "func_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.function_text(F.col("name"), F.col("signature"), F.col("docstring")).alias("text")))
+    c = spread(table(s, d, "class_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.listed_text(F.col("name"), "Methods", F.col("methods")).alias("text")))
+    return f, c
+
+
 @query()
 def semantic_code_search(s: SparkSession, d: str) -> DataFrame:
     """Functions and classes of Python files nearest to the texts of the documents with an id divisible by 100."""
     asked = table(s, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("vec_id"), "text")
     asked = cut(embed.embed(spread(asked), "vec_id", F.col("text")))
-    f = spread(table(s, d, "func_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.function_text(F.col("name"), F.col("signature"), F.col("docstring")).alias("text")))
-    c = spread(table(s, d, "class_defs").select(F.col("row_id").alias("vec_id"), "name", "file", embed.listed_text(F.col("name"), "Methods", F.col("methods")).alias("text")))
-    return _by_text(asked, f, "function", "*.py", 10).unionByName(_by_text(asked, c, "class", "*.py", 10))
+    f, c = searched(s, d)
+    return by_text(asked, f, "function", "*.py", 10).unionByName(by_text(asked, c, "class", "*.py", 10))

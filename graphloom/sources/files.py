@@ -36,3 +36,11 @@ def export_json(df: DataFrame, folder: str, by: str | None = None) -> None:
     """JSON lines; ``by`` makes one folder per value, so that equal file names don't overwrite each other."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).json(folder)
+
+
+def export_graph(facts: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Exports of an index run: ``files`` (facts by kind), ``index`` (counts per file) and ``relationships`` (edges by type)."""
+    export_json(facts, f"{folder}/files", by="kind")
+    kinds = ("function", "class", "import", "call")
+    export_json(facts.groupBy("path").agg(F.count(F.lit(1)).alias("facts"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds)), f"{folder}/index")
+    export_json(edges, f"{folder}/relationships", by="edge_type")

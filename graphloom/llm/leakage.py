@@ -278,18 +278,23 @@ class ShingleIndex:
             yield np.repeat(docs[first:last], c), np.repeat(b, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             first = last
 
-    def similar(self, pairs: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Those of the pairs (document times the number of items, plus item; ascending) whose common loose shingles hold the share of the item's words."""
+    def similar(self, near: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Those of the near pairs (document times the number of items, plus item; ascending) whose common loose shingles hold the share of the item's words.
+
+        Items with fewer than ``SHORT`` words have too few windows for changes: for
+        them every document with a common shingle is near.
+        """
         good = [np.zeros(0, dtype=np.int64)]
         for docs, rows in self.common(hashes, owner):
-            pair = docs * len(lengths) + self.owners[rows]
-            lo, hi = np.searchsorted(pairs, [docs[0] * len(lengths), (docs[-1] + 1) * len(lengths)])
-            asked = pairs[lo:hi]
+            items = self.owners[rows]
+            pair = docs * len(lengths) + items
+            wanted = lengths[items] < SHORT
+            if len(near):
+                wanted |= near[np.minimum(np.searchsorted(near, pair), len(near) - 1)] == pair
+            rows = rows[wanted]
+            asked, at = np.unique(pair[wanted], return_inverse=True)
             if not len(asked):
                 continue
-            at = np.minimum(np.searchsorted(asked, pair), len(asked) - 1)
-            wanted = asked[at] == pair
-            at, rows = at[wanted], rows[wanted]
             size = lengths[asked % len(lengths)]
             starts = np.cumsum(size) - size
             seen = np.zeros(int(size.sum()), dtype=bool)  # words of the items of all pairs, one after the other
@@ -378,23 +383,13 @@ class Block:
             found.append(np.unique(owner[inside[a]] * len(self.items) + items[b]))
         return np.unique(np.concatenate(found))
 
-    def near_short(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """The same for items that have too few words for windows with changes: they share a loose shingle."""
-        found = [np.zeros(0, dtype=np.int64)]
-        for index in self.shingles:
-            if (self.lengths[index.owners] < SHORT).any():
-                for docs, rows in index.common(hashes, owner):
-                    short = self.lengths[index.owners[rows]] < SHORT
-                    found.append(np.unique(docs[short] * len(self.items) + index.owners[rows[short]]))
-        return np.unique(np.concatenate(found))
-
     def leaks(self, documents: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(position of the document, item id, share) of each leak."""
         if not self.items or not documents:
             return
         hashes = np.concatenate([hashes_of(d) for d in documents])
         owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-        near = np.union1d(self.near(hashes, owner), self.near_short(hashes, owner))
+        near = self.near(hashes, owner)
         pairs = np.concatenate([index.similar(near, self.lengths, hashes, owner) for index in self.shingles])
         for pair in np.sort(pairs).tolist():
             d, i = divmod(pair, len(self.items))

@@ -3,7 +3,9 @@
 The grammars of ``source_check`` keep source offsets; their semantic actions emit
 each function or method definition with its documentation: in Python the
 docstring, in C the comment that ends on the line directly above. Pairs whose
-documentation says nothing beyond the definition's own words are dropped.
+documentation says nothing beyond the definition's own words are dropped: by
+stand-in remarks and filler words that are known beforehand, and by the corpus,
+where the same remark at many functions of different names is a stock remark.
 
 Cases: files that don't parse, have null content or another suffix give none;
 definitions in strings, comments and inactive conditional branches are none;
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.python_source import Definition
 from graphloom.llm.source_check import SUFFIX, parse_as
-from graphloom.session import spread
+from graphloom.session import cut, small_side, spread
 
 _WORD = re.compile(r"[A-Z]+(?![a-zäöüß])|[A-ZÄÖÜ]?[a-zäöüß]+|\d+|[^\W\d_a-zA-Z]+")
 #: Remarks that stand in for documentation (fixed values).
@@ -43,6 +45,9 @@ FILLERS = frozenset(
     " short long self cls value values result results input inputs output outputs init initialise initialize initializer constructor construct ctor destructor dunder main simple simply just basic generic default used use uses using define defines definition"
     " performs perform performing executes execute call calls called calling given here name named code void none null int char double float bool str string struct static const unsigned".split()
 )
+#: A remark up to so many letters is stock if what it says beyond the function's own words stands at this share of all documented
+#: functions, and at least at so many, each time of another name.
+STOCK_LENGTH, STOCK_SHARE, STOCK_LEAST = 200, 0.0005, 20
 #: Different new words that say something; one is enough in a sentence of so many words (``asdf`` or ``Does things.`` says nothing).
 LEAST_WORDS, SENTENCE = 2, 4
 #: Every stand-in holds one of these (in lower case, blanks made single).
@@ -73,16 +78,25 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _plain(doc: str) -> str:
+    """Documentation without comment signs and tags."""
+    text = re.sub(r"^[ \t]*(?:/\*+!?|\*+/|//+!?|\*+|#+)|\*+/[ \t]*$", " ", doc, flags=re.MULTILINE)
+    return _TAGS.sub(" ", text) if _TAGGED.search(text) else text
+
+
+def _own_words(own: list[str]) -> set[str]:
+    return {stem(w) for o in own for w in words_of(o)} | {o.lower() for o in own}
+
+
 def informative(doc: str | None, own: list[str]) -> bool:
     """Whether documentation says something beyond the definition's own words and stand-in remarks."""
     if not doc:
         return False
-    text = re.sub(r"^[ \t]*(?:/\*+!?|\*+/|//+!?|\*+|#+)|\*+/[ \t]*$", " ", doc, flags=re.MULTILINE)
-    text = _TAGS.sub(" ", text) if _TAGGED.search(text) else text
+    text = _plain(doc)
     low = " ".join(text.lower().split())
     if any(t in low for t in _TRIGGERS):
         text = STAND_INS.sub(" ", text)
-    known = {stem(w) for o in own for w in words_of(o)} | {o.lower() for o in own}
+    known = _own_words(own)
     new: set[str] = set()
     tokens = re.findall(r"\w+", text)
     for token in tokens:
@@ -96,6 +110,12 @@ def informative(doc: str | None, own: list[str]) -> bool:
     return False
 
 
+def remainder(doc: str, own: list[str]) -> str:
+    """What documentation says without the definition's own words, as one key: short remarks for different functions that agree in it are stock."""
+    known = _own_words(own)
+    return " ".join(w for w in words_of(_plain(doc)) if stem(w) not in known and w not in known)
+
+
 def pairs_in(suffix: str, content: str) -> list[Definition]:
     """Definitions of a valid file whose documentation is informative."""
     found = parse_as(suffix, content, definitions=True)
@@ -109,11 +129,25 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = pairs_in(suffix, content)
             if found:
                 lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                rows += [(file_id, d.line, d.name, d.doc, "\n".join(lines[d.first - 1 : d.last])) for d in found]
-        yield pd.DataFrame(rows, columns=["file_id", "def_line", "name", "doc", "code"])
+                for d in found:
+                    rest = remainder(d.doc, [d.name, *d.header]) if len(d.doc) <= STOCK_LENGTH else None
+                    rows.append((file_id, d.line, d.name, d.doc, "\n".join(lines[d.first - 1 : d.last]), rest))
+        yield pd.DataFrame(rows, columns=["file_id", "def_line", "name", "doc", "code", "rest"])
+
+
+def stock_remarks(pairs: DataFrame) -> DataFrame:
+    """(rest) of remarks that stand at so many functions of different names that they say nothing about any of them.
+
+    At most 1 / ``STOCK_SHARE`` of them can have the share, so they are few.
+    """
+    total = pairs.count()
+    names = pairs.filter("rest is not null").groupBy("rest", "name").agg(F.lit(1).alias("one")).groupBy("rest").agg(F.count("one").alias("names"))
+    return names.filter(F.col("names") >= max(STOCK_LEAST, STOCK_SHARE * total)).select("rest")
 
 
 def documented_functions(src_files: DataFrame) -> DataFrame:
     """(file_id, def_line, name, doc, code) of each informatively documented function."""
     files = src_files.select(F.col("file_id").cast("bigint").alias("file_id"), F.regexp_extract(F.coalesce("path", F.lit("")), SUFFIX, 1).alias("suffix"), "content")
-    return spread(files.filter("content is not null and suffix <> ''")).mapInPandas(_pairs, "file_id bigint, def_line bigint, name string, doc string, code string")
+    pairs = spread(files.filter("content is not null and suffix <> ''")).mapInPandas(_pairs, "file_id bigint, def_line bigint, name string, doc string, code string, rest string")
+    pairs = cut(pairs)
+    return pairs.join(small_side(stock_remarks(pairs)), "rest", "left_anti").select("file_id", "def_line", "name", "doc", "code")

@@ -168,6 +168,18 @@ def test_pairs():
     assert doc_pairs.pairs_in("py", "def f(:\n") == []
 
 
+def test_stock_remarks_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(doc_pairs, "STOCK_LEAST", 5)
+    remark = "Pending review by the platform group."
+    body = lambda n, doc: f'def work_{n}(x):\n    """{doc}"""\n    return x\n\n'
+    names = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    files = [(i, "a.py", body(n, f"{n.title()}: {remark}" if i % 2 else remark) + body(n + "_more", f"Counts {n} pages of the {i}th ledger twice.")) for i, n in enumerate(names)]
+    files += [(100 + i, "copy.py", body("same", "Walks the ledger from its end.")) for i in range(8)] + [(200, "n.py", None)]
+    got = [(r.file_id, r.name) for r in doc_pairs.documented_functions(spark.createDataFrame(files, "file_id bigint, path string, content string")).collect()]
+    assert sorted(got) == sorted([(i, f"work_{n}_more") for i, n in enumerate(names)] + [(100 + i, "work_same") for i in range(8)])
+    assert doc_pairs.documented_functions(spark.createDataFrame([], "file_id bigint, path string, content string")).count() == 0
+
+
 def test_python_definitions_as_the_reference_parser():
     for r in pq.read_table("/root/testdata/sf0.001/src_files.parquet", columns=["path", "content"]).to_pylist():
         if r["content"] is None or not r["path"].endswith(".py"):

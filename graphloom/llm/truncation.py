@@ -16,7 +16,9 @@ held against the grammars: it is cut if they fail at its end. A sentence is cut
 if nothing ends it. List items, headings and short closing lines need no full
 stop: they are cut if their last word is cut or never ends a line or clause in
 the corpus (``the``), if the longer copy goes on within the line, or if the
-text has exactly a length at which its source piles up unfinished texts.
+text has exactly a length at which its source piles up unfinished texts. Which
+short closing lines there are (``LGTM``) is learned: others than those that many
+texts end with are cut.
 
 Cases: null or blank texts are complete; repeated texts each count; a text whose
 last sentence is complete is no case even if longer copies exist, unless one goes
@@ -45,13 +47,15 @@ _AND_SO_ON = re.compile(r"(?:\band so (?:on|forth)|\betc\.?|\busw\.?|\bu\.\s?s\.
 _ENDED = re.compile(r"""[.?!。！？]["'”’»)\]`*_]*$""")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+\S")
 _REFERENCE = re.compile(r"(?:[A-Z][\w-]*(?: \w+){0,2}: ?\S*(?:\d|\.\w{1,5}|/|>)|(?:Fixed|Closed|Closes|Fixes|Resolved|Since|Merged|See) (?:in |by )?[#\w/.-]*\d+|https?://\S+)$")
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 #: A longer copy goes on in the next line, or in one that is indented; ends of values that a letter or digit goes on as one token.
 _LINE_END, _DEEPER, _OPEN_TOKEN = re.compile(r"\s*(?:\n|$)"), re.compile(r"\s*\n+[ \t]+\S"), re.compile(r"[\w.?!/]\Z")
 #: Letters looked at where a longer copy goes on.
 AFTER = 80
 #: A last word may end a line if at least this share of its other occurrences does; judged from this many on.
 ENDER_SHARE, JUDGED_FROM = 0.02, 5
+#: A short closing line stands for a complete text if at least this share of the corpus' texts with such lines end with the same.
+CLOSING_SHARE = 0.02
 #: A length is a limit of its source if this many unfinished texts have it, and this share of all its texts of that length.
 PILE, PILE_SHARE = 5, 0.3
 
@@ -120,11 +124,12 @@ def _endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = [ending(t, a, s) for t, a, s in zip(frame["text"], frame["lang"], frame["source"])]
         out = pd.DataFrame(rows, columns=["form", "word", "spare"])
+        out["closing"] = [_DIGITS.sub("0", t.rstrip().rsplit("\n", 1)[-1].strip()) if r[0] == "closing" else None for t, r in zip(frame["text"], rows)]
         out.insert(0, "doc_id", frame["doc_id"].to_numpy())
         out["source"] = frame["source"].to_numpy()
         out["n"] = [len(t) if t else 0 for t in frame["text"]]
         out["h"] = frame["h"].to_numpy()
-        yield out[["doc_id", "source", "h", "form", "word", "spare", "n"]]
+        yield out[["doc_id", "source", "h", "form", "word", "spare", "n", "closing"]]
 
 
 def _ways(value: str, after: str) -> tuple[bool, bool, bool]:
@@ -206,10 +211,17 @@ def judged_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select("word", state.alias("state"))
 
 
+def stock_closings(ends: DataFrame) -> DataFrame:
+    """(closing) of the short closing lines that make up the share of all, each text counted once; at most 1 / ``CLOSING_SHARE`` rows."""
+    counts = cut(ends.filter("closing is not null").select("h", "closing").distinct().groupBy("closing").agg(F.count(F.lit(1)).alias("texts")))
+    total = counts.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    return counts.filter(F.col("texts") >= CLOSING_SHARE * total).select("closing")
+
+
 def judge_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, source, n, form, truncated) of every document."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").withColumn("h", F.xxhash64("text"))
-    ends = cut(spread(docs).mapInPandas(_endings, "doc_id bigint, source string, h bigint, form string, word string, spare int, n int"))
+    ends = cut(spread(docs).mapInPandas(_endings, "doc_id bigint, source string, h bigint, form string, word string, spare int, n int, closing string"))
     spares = ends.select("h", "spare").distinct()
     # values: texts without what follows the break; texts that differ in that only share one value
     values = docs.filter("text is not null").select("h", "text").dropDuplicates(["h"]).join(spares, "h")
@@ -228,6 +240,7 @@ def judge_documents(documents: DataFrame) -> DataFrame:
         .select(F.col("source").alias("s2"), F.col("n").alias("n2"), F.lit(True).alias("at_limit"))
     )
     judged = judged.join(small_side(piles), F.col("source").eqNullSafe(F.col("s2")) & (F.col("n") == F.col("n2")), "left")
+    judged = judged.join(small_side(stock_closings(ends)).withColumn("stock", F.lit(True)), "closing", "left")
     within_line, within_block, in_token = (F.coalesce(c, F.lit(False)) for c in ("within_line", "deeper", "in_token"))
     bad_word = F.coalesce(F.col("state").isin("open", "partial"), F.lit(False))
     limit = F.coalesce("at_limit", F.lit(False))
@@ -235,7 +248,7 @@ def judge_documents(documents: DataFrame) -> DataFrame:
         F.when(F.col("form") == "complete", in_token)
         .when(F.col("form") == "cut", True)
         .when(F.col("form").isin("code", "broken"), within_line | within_block | F.coalesce(F.col("state") == "partial", F.lit(False)))
-        .otherwise(bad_word | within_line | limit)
+        .otherwise(bad_word | within_line | limit | ((F.col("form") == "closing") & F.col("stock").isNull()))
     )
     return judged.select("doc_id", "source", "n", "form", "word", "state", "after", limit.alias("at_limit"), truncated.alias("truncated"))
 

@@ -233,6 +233,16 @@ def test_documents(spark):
     assert truncation.judge_documents(df.limit(0)).count() == 0
 
 
+def test_closing_lines_are_learned(spark):
+    rng = random.Random(12)
+    body = lambda: " ".join(rng.choice(WORDS) for _ in range(30)).capitalize() + "."
+    rows = [(i, f"{body()}\n\n{'LGTM' if i % 3 else 'Build 12' + str(i)}", "en", "wiki") for i in range(150)]
+    rows += [(1000 + i, f"{body()}\n\n{' '.join(rng.choice(WORDS) for _ in range(3)).capitalize()}", "en", "wiki") for i in range(20)]
+    rows += [(2000 + i, rows[-1][1], "en", "wiki") for i in range(30)]  # copies of one text don't make a closing
+    judged = truncation.judge_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert {r.doc_id for r in judged.collect() if r.truncated} == {r[0] for r in rows if r[0] >= 1000}
+
+
 def test_every_way_of_longer_copies(spark):
     rng = random.Random(6)
     values = sorted({"".join(rng.choice(["a", "b.", " ", "\n", "\n c", "1"]) for _ in range(rng.randrange(1, 7))) for _ in range(500)})

@@ -62,8 +62,8 @@ SHARE = 0.4
 GAP, SHIFT = 24, 16
 #: Least words of a stretch, and most words from one of them to the next.
 SHINGLE, NEAR = 3, 2
-#: Items per broadcast block; their texts are bounded as well.
-ITEMS_PER_BLOCK, TEXT_PER_BLOCK = 20_000, 32 << 20
+#: Items per broadcast block, and letters of their texts; a word takes about 200 bytes of the index in each worker.
+ITEMS_PER_BLOCK, TEXT_PER_BLOCK = 20_000, 4 << 20
 _CHUNK = 24_000  # words fingerprinted at once in a task
 _HITS = 2_000_000  # common shingles counted at once in a task (a single document may have more)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.exprs import basename, module_name, relative_path
-from graphloom.session import cut
+from graphloom.session import cut, small_side
 
 _QUOTED = r"""^[\s"'`]+|[\s"'`]+$"""
 #: Recorded depth at which a closure ends.
@@ -130,7 +130,7 @@ def closure(seeds: DataFrame, steps: DataFrame, max_depth: int | None = MAX_DEPT
     each round starts from the last frontier only, leaves out what is known, and
     is written before the next.
     """
-    steps = cut(steps.select("a", "b").distinct())
+    steps = small_side(steps.select("a", "b").distinct())
     done = 0
     start = seeds.select("seed", "node").distinct()
     if first is not None:
@@ -165,7 +165,7 @@ def dependents(changed: DataFrame, import_decls: DataFrame, src_files: DataFrame
     first = cut(both(python.unionByName(c_matches(import_decls, src_files, roots=True).drop("module"))))
     seeds = changed.select("repo", F.col("path").alias("a")).distinct()
     names = first.select("repo", F.col("a").alias("path")).unionByName(first.select("repo", F.col("b").alias("path"))).unionByName(seeds.select("repo", F.col("a").alias("path")))
-    codes = cut(names.distinct().withColumn("id", F.monotonically_increasing_id()))
+    codes = small_side(names.distinct().withColumn("id", F.monotonically_increasing_id()))
     coded = lambda df, name: df.join(codes.select("repo", F.col("path").alias(name), F.col("id").alias(f"{name}_id")), ["repo", name])
     numbers = lambda df: coded(coded(df, "a"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     start = coded(seeds, "a").select(F.col("a_id").alias("seed"), F.col("a_id").alias("node"))

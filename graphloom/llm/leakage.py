@@ -14,8 +14,8 @@ comment signs and line layout are gone. Then
    loose shingles;
 3. *Exact shingle similarity*: a loose shingle is ``SHINGLE`` words that follow
    each other in steps of at most ``NEAR``. A candidate stays if the item words in
-   common loose shingles make up the share. What is counted in 4. stands in such
-   a shingle, so this drops no leak;
+   common loose shingles make up the share, where stock phrases weigh nothing.
+   What is counted in 4. stands in such a shingle, so else this drops no leak;
 4. *Alignment*: the best alignment is found by dynamic programming over all
    words that item and document share. A stretch is ``SHINGLE`` or more words in
    the item's order, each at most ``NEAR`` words after the one before in both
@@ -62,6 +62,8 @@ SHARE = 0.4
 GAP, SHIFT = 24, 16
 #: Least words of a stretch, and most words from one of them to the next.
 SHINGLE, NEAR = 3, 2
+#: Surroundings (or share of the items), and items, from which on a shingle is a stock phrase.
+STOCK_PLACES, STOCK_SHARE, STOCK_ITEMS = 6, 0.015, 3
 #: Items per broadcast block, and letters of their texts; a word takes about 200 bytes of the index in each worker.
 ITEMS_PER_BLOCK, TEXT_PER_BLOCK = 20_000, 4 << 20
 _CHUNK = 24_000  # words fingerprinted at once in a task
@@ -236,18 +238,41 @@ def loose_shingles(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places)
 
 
+def _surroundings(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The words before and after each shingle, as one number."""
+    padded = np.concatenate([np.zeros(1, dtype=np.uint64), hashes, np.zeros(1, dtype=np.uint64)])
+    return _mixed(padded[places[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + padded[places[:, -1] + 2])
+
+
+def _stock(keys: np.ndarray, around: np.ndarray, owners: np.ndarray, least: float) -> np.ndarray:
+    """Whether each key is one that stands in at least so many surroundings, and in ``STOCK_ITEMS`` items."""
+    names, at = np.unique(keys, return_inverse=True)
+    count = lambda other: np.bincount(np.unique(np.stack([at.astype(np.uint64), other.astype(np.uint64)]), axis=1)[0].astype(np.int64), minlength=len(names))
+    return ((count(around) >= least) & (count(owners) >= STOCK_ITEMS))[at]
+
+
 class ShingleIndex:
-    """Loose shingles of items that have the same least stretch, with the item words in each."""
+    """Loose shingles of items that have the same least stretch, with the item words in each.
+
+    Stock phrases weigh nothing: a whole shingle that stands in many different
+    surroundings, in several items, is a phrase of the language (``the _ of every``),
+    and items and documents that have no more in common than such phrases share
+    them by chance. Repeated items and variants of one have the same surroundings.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], k: int) -> None:
         self.k = k
         found = [loose_shingles(h, k) for _, h in items]
         keys = np.concatenate([key for key, _ in found])
+        owners = np.repeat([i for i, _ in items], [len(key) for key, _ in found])
         order = np.argsort(keys, kind="stable")
+        if k == SHINGLE:
+            around = np.concatenate([_surroundings(h, at) for (_, h), (_, at) in zip(items, found)])
+            order = order[~_stock(keys, around, owners, max(STOCK_PLACES, STOCK_SHARE * len(items)))[order]]
         self.keys = keys[order]
         self.known = _Known(self.keys)
         self.places = np.concatenate([at for _, at in found]).astype(np.int32)[order]
-        self.owners = np.repeat([i for i, _ in items], [len(key) for key, _ in found])[order]
+        self.owners = owners[order]
 
     def common(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(document, row of the index) of shingles that both hold, whole documents at a time; owner: the document of each word, ascending."""

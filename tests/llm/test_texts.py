@@ -127,6 +127,19 @@ def brute_share(item, doc):
     return max((m for (_, _, n), m in best.items() if n == k), default=0) / len(item)
 
 
+def test_stock_phrases_are_no_leak():
+    rng = random.Random(3)
+    noun = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    phrase = lambda: rng.choice(["the {} of every {}", "one {} per {}", "and each {} of the {}", "any {} by its {}"]).format(noun(), noun())
+    items = [(i, " ".join(phrase() for _ in range(9))) for i in range(60)]
+    text = " ".join(w + "x" for w in items[7][1].split())
+    variants = [(100 + i, f"{text} {WORDS[i]}") for i in range(12)] + [(200, text), (201, text)]
+    block = leakage.Block(items + variants)
+    docs = [" ".join(phrase() for _ in range(12)).split() for _ in range(20)] + [["start", *text.split(), "end"], ["start", *items[5][1].split(), "end"]]
+    got = {(d, i) for d, i, _ in block.leaks(docs)}
+    assert got == {(20, i) for i, _ in variants} | {(21, 5)}
+
+
 def test_leaks_with_close_changes_against_brute_force():
     rng = random.Random(5)
     items = [(i, text(rng, rng.choice((1, 2, 3, 4, 5, 7, 24, 40)))) for i in range(40)]
